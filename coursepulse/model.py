@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-STEP_KEYS = ("course_run", "learner_id", "step")
-LEARNER_KEYS = ("course_run", "learner_id")
+# The learner comes first: sorts compare the leading key before the rest, and a run name has
+# few distinct values.
+STEP_KEYS = ("learner_id", "course_run", "step")
+LEARNER_KEYS = ("learner_id", "course_run")
 
 # Raw CSV tables: column -> type. "utc" is a text column holding "yyyy-MM-dd HH:mm:ss UTC".
 UTC, STR, INT, LONG, DBL = "utc", "string", "int", "bigint", "double"

@@ -13,8 +13,23 @@ from pyspark.sql import functions as F
 RUNS = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
 
 
+# The columns read, with their types; nothing is inferred from the files (fixed values).
+SCHEMAS = {
+    "nation": "n_nationkey int, n_name string",
+    "customer": "c_custkey bigint, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "orders": (
+        "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+        "o_orderdate timestamp_ntz, o_orderpriority string"
+    ),
+    "lineitem": (
+        "l_orderkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+        "l_returnflag string, l_shipdate timestamp_ntz"
+    ),
+}
+
+
 def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{table}.parquet")
+    return spark.read.schema(SCHEMAS[table]).parquet(f"{folder}/{table}.parquet")
 
 
 def step_activity(spark: SparkSession, folder: str) -> DataFrame:
@@ -70,7 +85,7 @@ def enrolments(spark: SparkSession, folder: str) -> DataFrame:
     orders = _read(spark, folder, "orders")
     finished = (F.col("o_orderstatus") == "F") & (F.col("o_totalprice") >= 350000)
     dates = orders.groupBy(
-        F.col("o_orderpriority").alias("course_run"), F.col("o_custkey").alias("learner_id")
+        F.col("o_custkey").alias("learner_id"), F.col("o_orderpriority").alias("course_run")
     ).agg(
         F.min("o_orderdate").alias("first_order"),
         F.max(F.when(finished, F.col("o_orderdate"))).alias("fully_participated_at"),
@@ -96,7 +111,7 @@ def enrolments(spark: SparkSession, folder: str) -> DataFrame:
             .alias("employment_area"),
         )
     )
-    return learners.join(dates, ["course_run", "learner_id"], "left").select(
+    return learners.join(dates, ["learner_id", "course_run"], "left").select(
         "learner_id",
         "course_run",
         F.coalesce("first_order", F.lit("1995-01-01").cast("timestamp_ntz")).alias("enrolled_at"),

@@ -1,0 +1,148 @@
+"""Learner tables, bands and summaries on hand-made rows."""
+
+import pytest
+from conftest import day
+from pyspark.sql import functions as F
+
+from coursepulse import CourseTables
+from coursepulse.functions import band_of, band_rank, days_between, parse_utc, percent_text
+from coursepulse.operators import early, learners
+
+
+@pytest.fixture(scope="module")
+def course(activity, enrolments):
+    """Twenty first-week steps in run-1, done to different degrees; run-2 has week 2 only."""
+    steps = [f"1.{i}" for i in range(1, 21)]
+    rows = []
+    for learner, done in [("l20", 20), ("l15", 15), ("l8", 8), ("l2", 2), ("l1", 1), ("l0", 0)]:
+        rows += [(learner, s, 1, 2 if i < done else None) for i, s in enumerate(steps)]
+    rows += [("later", "2.1", 3, 3), ("stranger", "1.1", 1, 1), ("stranger", "3.1", 1, 1)]
+    rows += [("x", "2.1", 1, 2, "run-2")]
+    people = [(n, 9 if n in ("l20", "l15") else None) for n in ("l20", "l15", "l8", "l2", "l1", "l0", "later", "idle")]
+    people += [("x", None, "run-2"), ("y", None, "run-3")]
+    return CourseTables(activity(rows), enrolments(people), ["run-1", "run-2", "run-3"])
+
+
+def by_learner(df):
+    return {r.learner_id: r for r in df.collect()}
+
+
+def test_bands(course):
+    got = {k: (r.week1_engagement_level, r.week1_level_rank) for k, r in by_learner(course.learner_with_week1).items()}
+    assert got == {
+        "l20": ("High", 4), "l15": ("High", 4), "l8": ("Medium", 3), "l2": ("Low", 2),
+        "l1": ("Very Low", 1), "l0": ("Very Low", 1), "later": ("None", 0), "idle": ("None", 0),
+        "x": ("None", 0), "y": ("None", 0),
+    }
+
+
+def test_band_edges(spark):
+    df = spark.createDataFrame([(v,) for v in (0.0, 9.99, 10.0, 39.99, 40.0, 74.99, 75.0, None, -1.0)], "rate double")
+    got = [r[0] for r in df.select(band_of("rate")).collect()]
+    assert got == ["Very Low", "Very Low", "Low", "Low", "Medium", "Medium", "High", None, None]
+
+
+def test_custom_bands(spark):
+    bands = (("some", 0), ("most", 50))
+    df = spark.createDataFrame([(10.0,), (50.0,)], "rate double").select(band_of("rate", bands).alias("b"))
+    assert [tuple(r) for r in df.select("b", band_rank("b", bands)).collect()] == [("some", 1), ("most", 2)]
+
+
+def test_one_pass_equals_separate_tables(course):
+    apart = early.attach_week1(course.learner_summary, course.week1_metrics)
+    assert sorted(apart.columns) == sorted(course.learner_with_week1.columns)
+    order = sorted(apart.columns)
+    assert apart.dtypes != [] and dict(apart.dtypes) == dict(course.learner_with_week1.dtypes)
+    assert sorted(map(str, apart.select(order).collect())) == sorted(
+        map(str, course.learner_with_week1.select(order).collect())
+    )
+
+
+def test_inactive_learners(course):
+    rows = by_learner(course.learner_summary)
+    idle = rows["idle"]
+    assert (idle.total_steps_visited, idle.total_steps_completed, idle.num_weeks_active, idle.max_week_reached) == (
+        0, 0, 0, 0,
+    )
+    assert idle.avg_steps_per_week is None and idle.engagement_duration_days is None
+    assert idle.completion_percentage == 0
+    # A run nobody was active in has no steps to relate to.
+    assert rows["y"].completion_percentage is None and rows["y"].total_steps_in_course is None
+
+
+def test_people_not_enrolled_count_only_as_steps(course):
+    assert "stranger" not in by_learner(course.learner_summary)
+    sizes = {r.course_run: r.total_steps_in_course for r in course.steps_per_run.collect()}
+    assert sizes == {"run-1": 22, "run-2": 1}
+    assert course.learner_summary.count() == 10
+
+
+def test_weeks_count_null_as_a_week(activity):
+    rows = activity([("a", "1.1", 1, 2, "run-1", 1), ("a", "1.2", 1, 3, "run-1", None), ("b", "1.3", 1, 1, "run-1", None)])
+    got = by_learner(learners.learner_engagement(rows))
+    assert (got["a"].num_weeks_active, got["a"].avg_steps_per_week, got["a"].max_week_reached) == (2, 1.0, 1)
+    assert (got["b"].num_weeks_active, got["b"].max_week_reached) == (1, None)
+    assert got["a"].engagement_duration_days == 2.0
+
+
+def test_missing_times_do_not_hide_steps(activity):
+    got = learners.learner_engagement(activity([("a", "1.1", None, None)])).first()
+    assert (got.total_steps_visited, got.first_activity, got.engagement_duration_days) == (1, None, None)
+
+
+def test_summaries(course):
+    o = course.completion_overall.first()
+    assert (o.n_enrolled, o.n_active, o.n_completed, o.completion_rate) == (10, 8, 2, 0.2)
+    w = course.week1_summary.first()
+    assert (w.n_enrolled, w.n_week1_active, w.prop_week1_active) == (10, 6, 0.6)
+    by = {r.completed: r for r in course.week1_by_completion.collect()}
+    assert (by[True].n, by[True].median_week1_steps_completed, by[True].mean_week1_completion_rate) == (2, 17.5, 87.5)
+    levels = {r.week1_engagement_level: (r.n, r.completion_rate) for r in course.completion_by_week1_level.collect()}
+    assert levels == {"High": (2, 1.0), "Medium": (1, 0.0), "Low": (1, 0.0), "Very Low": (2, 0.0)}
+
+
+def test_at_risk(course):
+    listed = {r.learner_id for r in early.at_risk(course.learner_with_week1).collect()}
+    assert listed == {"l2", "l1", "l0"}
+    with_idle = {r.learner_id for r in early.at_risk(course.learner_with_week1, include_inactive=True).collect()}
+    assert with_idle == listed | {"later", "idle", "x", "y"}
+
+
+def test_other_completion_definition(course):
+    row = learners.completed_by_steps(course.learner_summary).first()
+    assert (row.n_enrolled, row.n_completed) == (10, 2)  # l20 did 20 of 22, x did 1 of 1
+
+
+def test_demographics(spark, activity, enrolments):
+    people = [(f"m{i}", 2 if i < 10 else None, "run-1", {"gender": "male"}) for i in range(40)]
+    people += [(f"f{i}", 2, "run-1", {"gender": "female"}) for i in range(29)]
+    people += [(f"u{i}", 2, "run-1", {"gender": "Unknown"}) for i in range(50)]
+    summary = CourseTables(activity([("m1", "1.1", 1, 1)]), enrolments(people)).learner_summary
+    rows = learners.completion_by_demographic(summary, "gender").collect()
+    assert [tuple(r) for r in rows] == [("male", 40, 25.0)]
+    assert len(learners.completion_by_demographic(summary, "gender", min_group=1).collect()) == 2
+    with pytest.raises(ValueError):
+        learners.completion_by_demographic(summary, "learner_id")
+    missing = {r.demographic: r.n_missing for r in learners.missing_demographics(summary).collect()}
+    assert missing["gender"] == 50 and missing["country"] == 119
+
+
+def test_parse_utc(spark):
+    texts = ["2017-10-04 09:23:14 UTC", "2017-10-04 09:23:14", "", "junk", None, "2017-10-04", "2017-13-04 09:23:14"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(parse_utc("t").alias("x"))
+    assert df.dtypes == [("x", "timestamp_ntz")]
+    got = [r.x and r.x.isoformat() for r in df.collect()]
+    assert got == ["2017-10-04T09:23:14", "2017-10-04T09:23:14", None, None, None, None, None]
+
+
+def test_days_ignore_clock_changes(spark):
+    df = spark.sql(
+        "SELECT timestamp_ntz'2024-03-10 02:30:00' a, timestamp_ntz'2024-03-10 03:30:00' b, "
+        "timestamp_ntz'2024-03-09 12:00:00' c, timestamp_ntz'2024-03-11 12:00:00' d"
+    )
+    assert tuple(df.select(days_between("a", "b") * 24, days_between("c", "d")).first()) == (1.0, 2.0)
+
+
+def test_percent_text(spark):
+    df = spark.createDataFrame([(v,) for v in (5.0, 12.34, 100.0, 0.0, None)], "v double")
+    assert [r[0] for r in df.select(percent_text("v")).collect()] == ["5%", "12.3%", "100%", "0%", None]

@@ -1,0 +1,36 @@
+"""Every registered query against its SQL counterpart, and known counts of the test tables."""
+
+import pytest
+
+import __spark_entry__ as spark_entry
+from check_oracle import compare
+from conftest import SF_SMALL
+from coursepulse import CourseTables
+
+
+def test_every_query_has_a_counterpart():
+    assert set(spark_entry.queries()) == set(spark_entry.oracle_sql())
+
+
+@pytest.mark.parametrize("name", sorted(spark_entry.queries()))
+def test_matches_sql(spark, name):
+    assert compare(spark, SF_SMALL, name) is None
+
+
+def test_entry(spark):
+    rows = spark_entry.entry(spark).collect()
+    assert {r.week1_engagement_level for r in rows} == {"Very Low", "Low", "Medium", "High"}
+
+
+def test_known_counts(spark):
+    t = CourseTables.from_star(spark, SF_SMALL)
+    assert t.step_activity_all.count() == 6000
+    assert t.enrolments_all.count() == 750
+    assert t.dup_groups_step_activity.count() == 1117
+    overall = t.completion_overall.first()
+    assert (overall.n_enrolled, overall.n_active, overall.n_completed) == (750, 642, 133)
+    levels = {
+        r.week1_engagement_level: r["count"]
+        for r in t.learner_with_week1.groupBy("week1_engagement_level").count().collect()
+    }
+    assert levels == {"None": 150, "Very Low": 57, "Low": 366, "Medium": 173, "High": 4}

@@ -2,17 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from coursepulse.operators.distributions import ENGAGEMENT_METRICS
+
+METRICS = tuple(ENGAGEMENT_METRICS.values())
+# Two groups per metric are broadcast, three rows each; more metrics than this are refused.
+MAX_METRICS = 1_000
 GROUP = ("metric", "completed")
 QUARTILES = (0.25, 0.5, 0.75)
 # Whisker reach in interquartile ranges (fixed value).
 REACH = 1.5
 
 
-def quartiles(long: DataFrame, accuracy: int = 10_000) -> DataFrame:
+def _values(long: DataFrame, metrics: Sequence[str]) -> DataFrame:
+    """Present values of the named metrics, so that the number of groups has a known bound."""
+    if len(metrics) > MAX_METRICS:
+        raise ValueError(f"box plots of more than {MAX_METRICS} metrics at once")
+    return long.where(F.col("metric").isin(list(metrics)) & F.col("value").isNotNull())
+
+
+def quartiles(
+    long: DataFrame, metrics: Sequence[str] = METRICS, accuracy: int = 10_000
+) -> DataFrame:
     """Exact quartiles (linear interpolation) per metric and completion flag.
 
     The exact percentile function would keep every distinct duration of a group in one task.
@@ -21,7 +37,7 @@ def quartiles(long: DataFrame, accuracy: int = 10_000) -> DataFrame:
     the band and ranks only the values inside it, about ``4 / accuracy`` of the group. Should a
     band ever miss its rank, the query fails rather than return a near value.
     """
-    values = long.where(F.col("value").isNotNull())
+    values = _values(long, metrics)
     margin = 2.0 / accuracy
     edges = [max(p - margin, 0.0) for p in QUARTILES] + [min(p + margin, 1.0) for p in QUARTILES]
     sketch = values.groupBy(*GROUP).agg(
@@ -45,7 +61,7 @@ def quartiles(long: DataFrame, accuracy: int = 10_000) -> DataFrame:
             )
         ),
     )
-    # One row per metric, flag and quartile: 18 at most.
+    # One row per named metric, flag and quartile.
     near = values.join(F.broadcast(bands), list(GROUP)).where(F.col("value") <= F.col("high"))
     in_band = F.when(F.col("value") >= F.col("low"), F.col("value"))
     counts = near.groupBy(*GROUP, "quartile", "rank", in_band.alias("v")).agg(
@@ -82,27 +98,27 @@ def quartiles(long: DataFrame, accuracy: int = 10_000) -> DataFrame:
     )
 
 
-def _with_fences(long: DataFrame, box: DataFrame) -> DataFrame:
-    """Rows with the quartiles and fences of their group, of which there are six at most."""
+def _with_fences(long: DataFrame, metrics: Sequence[str]) -> DataFrame:
+    """Values with the quartiles and fences of their group, a row per named metric and flag."""
     reach = (F.col("q3") - F.col("q1")) * REACH
-    fences = box.withColumn("lower_fence", F.col("q1") - reach).withColumn(
-        "upper_fence", F.col("q3") + reach
+    fences = quartiles(long, metrics).withColumns(
+        {"lower_fence": F.col("q1") - reach, "upper_fence": F.col("q3") + reach}
     )
-    return long.where(F.col("value").isNotNull()).join(F.broadcast(fences), list(GROUP))
+    return _values(long, metrics).join(F.broadcast(fences), list(GROUP))
 
 
-def _outside():
+def _outside() -> Column:
     return (F.col("value") < F.col("lower_fence")) | (F.col("value") > F.col("upper_fence"))
 
 
-def box_statistics(long: DataFrame) -> DataFrame:
+def box_statistics(long: DataFrame, metrics: Sequence[str] = METRICS) -> DataFrame:
     """Quartiles, whiskers and number of outliers per metric and completion flag.
 
     A whisker ends at the furthest value within the fence, and never inside the box.
     """
     inside = F.when(~_outside(), F.col("value"))
     return (
-        _with_fences(long, quartiles(long))
+        _with_fences(long, metrics)
         .groupBy(*GROUP, "q1", "median", "q3")
         .agg(
             F.count(F.lit(1)).alias("n"),
@@ -123,6 +139,6 @@ def box_statistics(long: DataFrame) -> DataFrame:
     )
 
 
-def outliers(long: DataFrame) -> DataFrame:
+def outliers(long: DataFrame, metrics: Sequence[str] = METRICS) -> DataFrame:
     """Values beyond the fences of their group."""
-    return _with_fences(long, quartiles(long)).where(_outside()).select(*long.columns)
+    return _with_fences(long, metrics).where(_outside()).select(*long.columns)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from copy import copy
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -118,6 +119,32 @@ class CourseTables:
                 vars(self)["learner_summary"] = written.select(*summary)
         return self
 
+    def co_locate(self, folder: str, buckets: int, prefix: str = "") -> CourseTables:
+        """Store cleaned activity and enrolments bucketed by learner and serve them from there.
+
+        For repeated analyses (other weeks, other bands): the shuffles by learner are paid once
+        here, and every learner table derived afterwards reads its buckets in place. Returns
+        new ``CourseTables``; the names of the stored tables start with ``prefix``.
+        """
+        clean, people = (
+            store.save_bucketed(df, folder, f"{prefix}{name}", buckets)
+            for name, df in (
+                ("step_activity_clean", self.step_activity_clean),
+                ("enrolments_all", self.enrolments_all),
+            )
+        )
+        return self._with_inputs(clean, people)
+
+    def _with_inputs(self, clean: DataFrame, enrolments: DataFrame) -> CourseTables:
+        """The same course over an activity table that is already clean."""
+        tables = copy(self)
+        derived = [name for name in vars(self) if name in (*self.LARGE, *self.SMALL, "run_sizes")]
+        for name in derived:
+            if name != "step_activity_all":
+                del vars(tables)[name]
+        vars(tables).update(step_activity_clean=clean, enrolments_all=enrolments)
+        return tables
+
     # Activity
 
     @cached_property

@@ -8,7 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from coursepulse.model import require_names
+from coursepulse.model import LEARNER_KEYS, require_names
 
 
 def publish(df: DataFrame, folder: str, name: str, partitioned: bool = False) -> DataFrame:
@@ -24,6 +24,23 @@ def publish(df: DataFrame, folder: str, name: str, partitioned: bool = False) ->
     return load(df.sparkSession, folder, name)
 
 
+def save_bucketed(df: DataFrame, folder: str, name: str, buckets: int) -> DataFrame:
+    """Write a catalog table bucketed by learner and run, one file per bucket, and return it.
+
+    Tables of equal bucket number group and join by learner without a shuffle. A bucket holds
+    all rows of its learners, so store tables whose rows per learner are bounded, such as the
+    cleaned activity, and not the raw one.
+    """
+    (
+        df.repartition(buckets, *LEARNER_KEYS)
+        .write.mode("overwrite")
+        .bucketBy(buckets, *LEARNER_KEYS)
+        .option("path", f"{folder}/{name}")
+        .saveAsTable(name)
+    )
+    return df.sparkSession.table(name)
+
+
 def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """Read a published table; run names stay text even where they look like numbers."""
     path = f"{folder}/{name}"

@@ -101,7 +101,7 @@ def heavy_groups(rng):
 @pytest.mark.parametrize("accuracy", [20, 100, 10_000])
 def test_quartiles_are_exact(spark, accuracy):
     groups = heavy_groups(random.Random(accuracy))
-    rows = boxplot.quartiles(as_long(spark, groups).repartition(6), accuracy).collect()
+    rows = boxplot.quartiles(as_long(spark, groups).repartition(6), "abc", accuracy).collect()
     assert len(rows) == len(groups)
     for r in rows:
         values = [v for v in groups[r.metric, r.completed] if v is not None]
@@ -111,8 +111,10 @@ def test_quartiles_are_exact(spark, accuracy):
 def test_box_statistics_and_outliers(spark):
     groups = heavy_groups(random.Random(2))
     df = as_long(spark, groups)
-    out = boxplot.outliers(df).collect()
-    for r in boxplot.box_statistics(df).collect():
+    out = boxplot.outliers(df, "abc").collect()
+    boxes = boxplot.box_statistics(df, "abc").collect()
+    assert len(boxes) == len(groups)
+    for r in boxes:
         values = np.array([v for v in groups[r.metric, r.completed] if v is not None])
         q1, q2, q3 = np.quantile(values, [0.25, 0.5, 0.75])
         beyond = (values < q1 - 1.5 * (q3 - q1)) | (values > q3 + 1.5 * (q3 - q1))
@@ -123,6 +125,11 @@ def test_box_statistics_and_outliers(spark):
         assert listed == sorted(values[beyond])
 
 
+def test_box_plot_bound(spark):
+    with pytest.raises(ValueError):
+        boxplot.quartiles(as_long(spark, {("a", True): [1.0]}), [str(i) for i in range(boxplot.MAX_METRICS + 1)])
+
+
 def brute_trend(xs, ys, span=0.75):
     fits = []
     for x0 in xs:

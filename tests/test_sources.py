@@ -161,6 +161,24 @@ def test_publish_and_load(spark, star_tables, tmp_path):
     assert one.count() == 150
 
 
+def test_co_located_tables_need_no_shuffle_by_learner(spark, star_tables, tmp_path):
+    stored = CourseTables.from_star(spark, "/root/testdata/sf0.001").co_locate(str(tmp_path), 4, prefix="test_")
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        df = stored.learner_with_week1
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin [learner_id" in plan and "Exchange hashpartitioning(learner_id" not in plan
+        columns = sorted(df.columns)
+        ours = sorted(map(str, df.select(columns).collect()))
+    finally:
+        spark.conf.set(key, before)
+        spark.sql("DROP TABLE test_step_activity_clean")
+        spark.sql("DROP TABLE test_enrolments_all")
+    assert ours == sorted(map(str, star_tables.learner_with_week1.select(columns).collect()))
+
+
 def test_run_names_stay_text(spark, tmp_path):
     df = spark.createDataFrame([("007", 1), ("2020-01-01", 2)], "course_run string, n int")
     back = store.publish(df, str(tmp_path), "t", partitioned=True)

@@ -102,6 +102,7 @@ class CourseTables:
         names = [*cls.LARGE, *cls.SMALL, "run_sizes"]
         loaded = {name: store.load(spark, folder, name) for name in store.published(spark, folder, names)}
         tables = cls(loaded.pop("step_activity_all"), loaded.pop("enrolments_all"), runs, **options)
+        tables._serve_learners(loaded["learner_with_week1"])
         vars(tables).update(loaded)
         return tables
 
@@ -115,10 +116,15 @@ class CourseTables:
             written = store.publish(getattr(self, name), folder, name, partitioned=name in self.LARGE)
             vars(self)[name] = written
             if name == "learner_with_week1":
-                summary = [c for c in written.columns if not c.startswith("week1_")]
-                vars(self)["learner_summary"] = written.select(*summary)
+                self._serve_learners(written)
         return self
 
+    def _serve_learners(self, stored: DataFrame) -> None:
+        """Take the other forms of the learner table from its stored one."""
+        summary = [c for c in stored.columns if not c.startswith("week1_")]
+        vars(self)["learner_summary"] = stored.select(*summary)
+        vars(self)["learner_week1"] = stored
+
     def co_locate(self, folder: str, buckets: int, prefix: str = "") -> CourseTables:
         """Store cleaned activity and enrolments bucketed by learner and serve them from there.
 
@@ -138,9 +144,8 @@ class CourseTables:
     def _with_inputs(self, clean: DataFrame, enrolments: DataFrame) -> CourseTables:
         """The same course over an activity table that is already clean."""
         tables = copy(self)
-        derived = [name for name in vars(self) if name in (*self.LARGE, *self.SMALL, "run_sizes")]
-        for name in derived:
-            if name != "step_activity_all":
+        for name in vars(self):
+            if isinstance(getattr(type(self), name, None), cached_property):
                 del vars(tables)[name]
         vars(tables).update(step_activity_clean=clean, enrolments_all=enrolments)
         return tables
@@ -222,14 +227,27 @@ class CourseTables:
     def learner_with_week1_active(self) -> DataFrame:
         return early.week1_active_learners(self.learner_with_week1)
 
+    @cached_property
+    def learner_week1(self) -> DataFrame:
+        """The table ``learner_with_week1`` for queries that read only first-week columns.
+
+        It is put together from the separate tables, so Catalyst drops the joins to the
+        whole-course ones when no column of theirs is read, and only one week is scanned.
+        """
+        return early.attach_week1(self.learner_summary, self.week1_metrics, self.bands)
+
+    @cached_property
+    def learner_week1_active(self) -> DataFrame:
+        return early.week1_active_learners(self.learner_week1)
+
     @cached_property
     def week1_summary(self) -> DataFrame:
-        return early.week1_summary(self.learner_with_week1)
+        return early.week1_summary(self.learner_week1)
 
     @cached_property
     def week1_by_completion(self) -> DataFrame:
-        return early.week1_by_completion(self.learner_with_week1_active)
+        return early.week1_by_completion(self.learner_week1_active)
 
     @cached_property
     def completion_by_week1_level(self) -> DataFrame:
-        return early.completion_by_level(self.learner_with_week1_active)
+        return early.completion_by_level(self.learner_week1_active)

@@ -53,7 +53,7 @@ def rates_histogram(t: CourseTables) -> DataFrame:
 
 
 def steps_trend(t: CourseTables) -> DataFrame:
-    points = early.completion_by_week1_steps(t.learner_with_week1_active)
+    points = early.completion_by_week1_steps(t.learner_week1_active)
     return trend.local_trend(points, "week1_steps_completed", "completion_rate")
 
 
@@ -88,15 +88,15 @@ QUERIES: dict[str, Query] = {
     "week1_summary": lambda t: t.week1_summary,
     "week1_by_completion": lambda t: rounded(t.week1_by_completion, "mean_week1_completion_rate"),
     "completion_by_week1_level": lambda t: t.completion_by_week1_level,
-    "completion_by_week1_level_by_run": lambda t: early.completion_by_level(t.learner_with_week1_active, by_run=True),
-    "completion_by_week1_level_pct": lambda t: early.completion_by_level_percent(t.learner_with_week1_active),
-    "completion_by_week1_steps": lambda t: early.completion_by_week1_steps(t.learner_with_week1_active),
-    "at_risk_learners": lambda t: early.at_risk(t.learner_with_week1),
+    "completion_by_week1_level_by_run": lambda t: early.completion_by_level(t.learner_week1_active, by_run=True),
+    "completion_by_week1_level_pct": lambda t: early.completion_by_level_percent(t.learner_week1_active),
+    "completion_by_week1_steps": lambda t: early.completion_by_week1_steps(t.learner_week1_active),
+    "at_risk_learners": lambda t: early.at_risk(t.learner_week1),
     # Chart data
     "completion_funnel": lambda t: distributions.completion_funnel(t.completion_overall),
     "weekly_retention": lambda t: distributions.weekly_retention(t.step_activity_clean),
     "weekly_retention_by_run": lambda t: distributions.weekly_retention(t.step_activity_clean, by_run=True),
-    "week1_level_distribution": lambda t: distributions.level_distribution(t.learner_with_week1),
+    "week1_level_distribution": lambda t: distributions.level_distribution(t.learner_week1),
     "engagement_long": lambda t: distributions.engagement_long(t.learner_summary_active),
     "week1_vs_overall_long": lambda t: distributions.week1_vs_overall_long(t.learner_with_week1_active),
     "steps_histogram": steps_histogram,
@@ -107,19 +107,19 @@ QUERIES: dict[str, Query] = {
         "lower_whisker", "q1", "median", "q3", "upper_whisker",
     ),
     "engagement_outliers": lambda t: boxplot.outliers(distributions.engagement_long(t.learner_summary_active)),
-    "threshold_curve": lambda t: distributions.threshold_curve(t.learner_with_week1_active),
+    "threshold_curve": lambda t: distributions.threshold_curve(t.learner_week1_active),
     "week1_steps_trend": lambda t: rounded(steps_trend(t), "trend"),
     # Report
     "enrollment_summary": lambda t: report.enrollment_summary(t.completion_overall, t.learner_summary_active),
     "engagement_table": lambda t: report.engagement_table(t.engagement_by_completion),
     "cycle1_summary": lambda t: report.cycle1_summary(t.learner_summary_active),
     "effect_sizes": lambda t: report.effect_sizes(report.cycle1_summary(t.learner_summary_active)),
-    "week1_dist_table": lambda t: report.week1_dist_table(t.learner_with_week1),
+    "week1_dist_table": lambda t: report.week1_dist_table(t.learner_week1),
     "week1_comp_table": lambda t: report.week1_comp_table(t.week1_by_completion),
     "comp_by_level_table": lambda t: report.comp_by_level_table(t.completion_by_week1_level),
     "week1_lift": lambda t: report.week1_lift(t.completion_by_week1_level),
     "activation_gap": lambda t: report.activation_gap(t.completion_overall),
-    "week1_high_share": lambda t: report.week1_high_share(t.learner_with_week1),
+    "week1_high_share": lambda t: report.week1_high_share(t.learner_week1),
     "mean_course_size": lambda t: report.mean_course_size(t.steps_per_run, t.week1_steps_per_run),
     "dataset_dimensions": lambda t: report.dataset_dimensions(
         t.enrolments_all, t.step_activity_all, t.dup_groups_step_activity

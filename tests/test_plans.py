@@ -76,10 +76,22 @@ def test_unused_course_sizes_are_not_computed(tables):
     assert len(line_scans(tables.engagement_by_completion)) == 1
 
 
-def test_threshold_curve_reads_the_activity_once(tables):
-    scans = line_scans(distributions.threshold_curve(tables.learner_with_week1_active))
-    # The other scan reads the few columns that give the size of each run.
+@pytest.mark.parametrize("name", ["threshold_curve", "completion_by_week1_level", "at_risk_learners"])
+def test_first_week_queries_scan_one_week(tables, name):
+    plan = plan_of(QUERIES[name](tables))
+    scans = line_scans(QUERIES[name](tables))
+    # One scan for the activity, one of fewer columns for the size of the week.
     assert sorted("l_returnflag" in scan for scan in scans) == [False, True]
+    filters = re.findall(r"FileScan parquet \[l_orderkey.*?DataFilters: \[(.*?), Format", plan)
+    assert len(filters) == len(scans) and all("% 3" in f for f in filters)
+    assert "count(distinct" not in plan
+
+
+def test_trend_needs_no_course_size(tables):
+    df = QUERIES["week1_steps_trend"](tables)
+    df.collect()
+    # The points and the array of all points come from one exchange.
+    assert all("l_returnflag" in scan for scan in line_scans(df)) and "ReusedExchange" in plan_of(df)
 
 
 def test_histogram_counts_once(spark, tables):

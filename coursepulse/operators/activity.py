@@ -20,7 +20,7 @@ def clean_step_activity(activity: DataFrame, step_fixes_week: bool = False) -> D
     Rows touched at the same moment are told apart by completion, then by first visit, then by
     the remaining columns, so the outcome depends on neither file nor task order. ``max`` over
     a struct is combined before the shuffle: a key repeated a billion times sends one row per
-    map task.
+    map task. The aggregate sorts, since a struct has no fixed width, but needs one shuffle.
 
     With ``step_fixes_week`` the caller states that a step of a run always has the same week
     and step number (``model.inconsistent_steps`` lists the exceptions). They then join the

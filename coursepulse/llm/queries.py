@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from coursepulse.llm import byte_pairs, languages, quality_rules, shards, token_counts
+from coursepulse.llm import byte_pairs, languages, near_duplicates, quality_rules, shards, token_counts
 from coursepulse.llm.common import table
 
 SHARDS = 8
@@ -38,12 +38,18 @@ def op8_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_pairs.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingle count and component of every document."""
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_slots": op1_slots,
     "op3_token_counts": op3_token_counts,
     "op4_language": op4_language,
     "op5_repetition": op5_repetition,
     "op8_byte_pairs": op8_byte_pairs,
+    "op10_near_duplicates": op10_near_duplicates,
 }
 
 ORACLE: dict[str, str] = {}

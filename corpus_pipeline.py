@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from coursepulse.llm import languages
+from coursepulse.llm import languages, near_duplicates
 from coursepulse.llm.common import stored, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -17,7 +17,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return languages.accept(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("language_id", language_id)]
+def near_duplicate_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return near_duplicates.keep_one(docs)
+
+
+STAGES: list[tuple[str, Stage]] = [("language_id", language_id), ("near_duplicates", near_duplicate_removal)]
 
 #: The stages run trained models and tokenizers, which SQL can't express.
 ORACLE_SQL: str | None = None

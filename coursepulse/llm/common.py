@@ -15,7 +15,9 @@ from pyspark.sql import types as T
 #: What the operators take as white space; the same bytes as in bytes.split().
 SPACES = " \t\n\x0b\x0c\r"
 #: Entries a task keeps in a table of words before it starts a new one.
-MAX_CACHED = 1_000_000
+MAX_CACHED = 300_000
+#: Rows that a task works on at once.
+ROWS = 1_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,9 +65,11 @@ def append_columns(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = start()
-        for batch in batches:
-            made = compute(*(batch.column(i) for i in at))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), *made], names=names)
+        for whole in batches:
+            for first in range(0, len(whole), ROWS):
+                batch = whole.slice(first, ROWS)
+                made = compute(*(batch.column(i) for i in at))
+                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), *made], names=names)
 
     return df.mapInArrow(run, schema)
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from coursepulse.llm import byte_pairs, languages, near_duplicates, quality_rules, shards, token_counts
+from coursepulse.llm import byte_pairs, languages, near_duplicates, quality_rules, shards, templates, token_counts
 from coursepulse.llm.common import table
 
 SHARDS = 8
@@ -38,6 +38,12 @@ def op8_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_pairs.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, with the item."""
+    found = templates.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("text_hash")
+
+
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shingle count and component of every document."""
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
@@ -49,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language": op4_language,
     "op5_repetition": op5_repetition,
     "op8_byte_pairs": op8_byte_pairs,
+    "op9_templates": op9_templates,
     "op10_near_duplicates": op10_near_duplicates,
 }
 

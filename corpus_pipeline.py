@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from coursepulse.llm import languages, near_duplicates
+from coursepulse.llm import languages, near_duplicates, templates
 from coursepulse.llm.common import stored, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -22,7 +22,16 @@ def near_duplicate_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return near_duplicates.keep_one(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("language_id", language_id), ("near_duplicates", near_duplicate_removal)]
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item, re-parameterised ones included."""
+    return templates.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("language_id", language_id),
+    ("near_duplicates", near_duplicate_removal),
+    ("decontamination", decontamination),
+]
 
 #: The stages run trained models and tokenizers, which SQL can't express.
 ORACLE_SQL: str | None = None

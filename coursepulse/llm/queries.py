@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from coursepulse.llm import byte_pairs, languages, near_duplicates, quality_rules, shards, templates, token_counts
+from coursepulse.llm import byte_pairs, languages, near_duplicates, quality_rules, secret_spans, shards, templates, token_counts
 from coursepulse.llm.common import table
 
 SHARDS = 8
@@ -33,6 +33,11 @@ def op5_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.report(table(spark, sf_dir, "documents"))
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document."""
+    return secret_spans.report(table(spark, sf_dir, "documents"))
+
+
 def op8_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document and their round trip, as digests."""
     return byte_pairs.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -54,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
     "op4_language": op4_language,
     "op5_repetition": op5_repetition,
+    "op6_secrets": op6_secrets,
     "op8_byte_pairs": op8_byte_pairs,
     "op9_templates": op9_templates,
     "op10_near_duplicates": op10_near_duplicates,

@@ -1,0 +1,87 @@
+import hashlib
+import random
+import re
+
+from coursepulse.llm import secret_spans as s
+
+BASE = [
+    ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A),
+     lambda m: len(m[2]) >= 8),
+    ("access", re.compile(r"AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 16),
+    ("hex", re.compile(r"[0-9a-f]+"), lambda m: len(m[0]) >= 32),
+]
+
+
+def base(text):
+    found = [
+        (m.start(), k, m.end(), name)
+        for k, (name, pattern, holds) in enumerate(BASE)
+        for m in pattern.finditer(text or "")
+        if holds(m)
+    ]
+    return sorted(found)
+
+
+def text_of(found):
+    return ",".join(f"{name}:{start}:{end}" for start, _, end, name in found)
+
+
+def check(docs, texts):
+    rows = {r.doc_id: r for r in s.report(docs).collect()}
+    for i, text in enumerate(texts):
+        found = base(text)
+        r = rows[i]
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(f[3] == k for f in found) for k, *_ in BASE), text
+        assert r.base_sha256 == hashlib.sha256(text_of(found).encode()).hexdigest(), text
+        assert {x for x in text_of(found).split(",") if x} <= set(r.spans.split(",")), text
+    return rows
+
+
+def test_base_spans_against_a_plain_search(documents):
+    rnd = random.Random(4)
+    bits = ["token", "Secret", "API_KEY", "apikey", "passwd", " ", "  ", ":", "=", '"', "'", "AKIA", "ABC123", "zz", "é", "😀",
+            "0123456789abcdef", "f" * 32, "a1", ".", "x" * 9, "\n", "PASSWORD", "K"]
+    texts = [None, "", "token=token:abcdefgh1", "AKIAAKIAB", "token = abc"] + [
+        "".join(rnd.choices(bits, k=rnd.randint(1, 40))) for _ in range(400)
+    ]
+    check(documents(list(enumerate(texts))), texts)
+
+
+def corpus():
+    rnd = random.Random(6)
+    hexa = lambda n: "".join(rnd.choices("0123456789abcdef", k=n))
+    word = lambda: "".join(rnd.choices(["the", "ing", "er", "tion", "an", "re", "ou"], k=rnd.randint(6, 9)))
+    texts = [f"{word()} {word()} token = '{hexa(40)}' and {word()}" for _ in range(60)]
+    texts += [f"{word()} over {word()}" for _ in range(100)]
+    hidden = hexa(24)
+    return [*texts, f"{word()} uses {hidden} here", "internationalization theotherreading"], hidden
+
+
+def test_random_strings_are_told_from_identifiers(documents):
+    texts, hidden = corpus()
+    rows = check(documents(list(enumerate(texts))), texts)
+    start = texts[160].index(hidden)
+    assert rows[160].spans == f"random:{start}:{start + 24}"
+    assert rows[161].spans == ""
+    assert not any(rows[i].spans for i in range(60, 160))
+
+
+def test_masking_changes_only_what_holds_secrets(documents):
+    texts, hidden = corpus()
+    docs = documents(list(enumerate([*texts, None, "token=aaaaaaaa" + "f" * 40 + " é AKIA" + "B" * 20])), extra="spans")
+    masked = s.mask(docs)
+    assert masked.schema == docs.schema
+    rows = {r.doc_id: r for r in masked.collect()}
+    assert rows[160].text == texts[160].replace(hidden, "[SECRET]")
+    assert rows[160].n_chars == len(rows[160].text)
+    assert rows[161].text == texts[161] and rows[162].text is None
+    assert rows[163].text == "[SECRET] é [SECRET]"
+    assert all("[SECRET]" in rows[i].text for i in range(60))
+
+
+def test_without_samples_and_many_spans_in_one_text(documents):
+    many = " ".join(["AKIA" + "A" * 12] * 3000)
+    rows = check(documents([(0, many), (1, "plain")]), [many, "plain"])
+    assert rows[0].n_access == 3000 and rows[1].spans == ""
+    empty = documents([(0, "x")]).where("doc_id > 0")
+    assert s.report(empty).count() == 0 and s.mask(empty).count() == 0

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from coursepulse.llm import languages, near_duplicates, templates
+from coursepulse.llm import byte_pairs, languages, near_duplicates, secret_spans, templates
 from coursepulse.llm.common import stored, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -27,10 +29,32 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return templates.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
+def secret_masking(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with the secrets in their texts masked."""
+    return secret_spans.mask(docs)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packed token ids of every document, their number, and whether decoding gives the text again."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own = docs.select("doc_id", "lang", "source", "text")
+    coded = byte_pairs.decode(byte_pairs.encode(own, path), path)
+    return coded.select(
+        "doc_id",
+        "lang",
+        "source",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        "ids",
+        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
+    )
+
+
 STAGES: list[tuple[str, Stage]] = [
     ("language_id", language_id),
     ("near_duplicates", near_duplicate_removal),
     ("decontamination", decontamination),
+    ("secret_masking", secret_masking),
+    ("encoding", encoding),
 ]
 
 #: The stages run trained models and tokenizers, which SQL can't express.

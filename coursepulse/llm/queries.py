@@ -7,7 +7,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from coursepulse.llm import byte_pairs, languages, near_duplicates, quality_rules, secret_spans, shards, templates, token_counts
+from coursepulse.llm import (
+    byte_pairs,
+    languages,
+    near_duplicates,
+    personal_data,
+    quality_rules,
+    secret_spans,
+    shards,
+    templates,
+    token_counts,
+)
 from coursepulse.llm.common import table
 
 SHARDS = 8
@@ -18,6 +28,11 @@ def op1_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.deal(spark, table(spark, sf_dir, "documents"), SHARDS)
 
 
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document."""
+    return personal_data.report(table(spark, sf_dir, "documents"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document by the 32k piece model."""
     return token_counts.report(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
@@ -56,6 +71,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_slots": op1_slots,
+    "op2_personal_data": op2_personal_data,
     "op3_token_counts": op3_token_counts,
     "op4_language": op4_language,
     "op5_repetition": op5_repetition,

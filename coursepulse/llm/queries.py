@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from coursepulse.llm import (
     byte_pairs,
+    kneser_ney,
     languages,
     near_duplicates,
     personal_data,
@@ -53,6 +54,11 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_spans.report(table(spark, sf_dir, "documents"))
 
 
+def op7_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity of every document and whether its language's threshold keeps it."""
+    return kneser_ney.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document and their round trip, as digests."""
     return byte_pairs.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -76,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language": op4_language,
     "op5_repetition": op5_repetition,
     "op6_secrets": op6_secrets,
+    "op7_kneser_ney": op7_kneser_ney,
     "op8_byte_pairs": op8_byte_pairs,
     "op9_templates": op9_templates,
     "op10_near_duplicates": op10_near_duplicates,

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator, Sequence
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -46,6 +49,28 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(context: SparkContext) -> None:
+    """Give the Python workers this package, as spark-submit's --py-files would."""
+    if context.applicationId in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parents[1]
+    archive = Path(tempfile.mkdtemp(prefix="coursepulse-")) / f"{package.name}.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    _SHIPPED.add(context.applicationId)
+
+
+def map_arrow(df: DataFrame, run: Callable, schema: T.StructType | str) -> DataFrame:
+    """df.mapInArrow, where run may use this package."""
+    ship(df.sparkSession.sparkContext)
+    return df.mapInArrow(run, schema)
+
+
 def append_columns(
     df: DataFrame,
     inputs: Sequence[str],
@@ -71,7 +96,7 @@ def append_columns(
                 made = compute(*(batch.column(i) for i in at))
                 yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), *made], names=names)
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema)
 
 
 def utf8(texts: pa.Array) -> list[bytes | None]:

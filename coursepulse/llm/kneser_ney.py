@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from coursepulse.llm.common import ROWS, stored
+from coursepulse.llm.common import ROWS, map_arrow, stored
 
 ORDER = 5
 #: Bits of a symbol: code points below 2,048 stand for themselves, others share the upper half.
@@ -97,7 +97,7 @@ def counts(docs: DataFrame, text: str = "text") -> DataFrame:
             part = slice(first, first + 100_000)
             yield pa.RecordBatch.from_arrays([pa.array(grams[0][part]), pa.array(n[0][part])], ["gram", "n"])
 
-    return docs.select(text).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return map_arrow(docs.select(text), run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def _discounts(level: DataFrame) -> list[float]:
@@ -268,7 +268,7 @@ def _pass(keyed: DataFrame, shared, number: int, shards: int) -> DataFrame:
 
     kinds = dict(keyed.dtypes)
     lead = ", ".join(f"{c} {kinds[c]}" for c in ("doc_id", "lang", "text_hash"))
-    return keyed.mapInArrow(run, f"{lead}, places long, logp double")
+    return map_arrow(keyed, run, f"{lead}, places long, logp double")
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from coursepulse.llm.common import append_columns
+from coursepulse.llm.common import append_columns, map_arrow
 
 #: Trigrams are hashed into this many buckets; a model has so many numbers for each language.
 BUCKETS = 1 << 16
@@ -98,7 +98,7 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
             )
 
     found = (
-        rows.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+        map_arrow(rows, count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     ).toPandas()
     languages = sorted(set(found["lang"]))
     table = np.full((len(languages), BUCKETS), SMOOTHING)

@@ -27,7 +27,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coursepulse.llm.common import MAX_CACHED, ROWS, mixed, stored, utf8
+from coursepulse.llm.common import MAX_CACHED, ROWS, map_arrow, mixed, stored, utf8
 
 WINDOW, MIN_WORDS = 13, 5
 #: A template window needs this share of words that aren't placeholders.
@@ -199,7 +199,7 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
                         rows.append(_rows(found, lead, start, size, template, False))
             yield _emit(rows, [("item_id", pa.int64()), ("n_windows", pa.int32())])
 
-    return items.select("text", F.col("item_id").cast("long")).mapInArrow(run, f"item_id long, n_windows int, {KEYED}")
+    return map_arrow(items.select("text", F.col("item_id").cast("long")), run, f"item_id long, n_windows int, {KEYED}")
 
 
 def bits_of(windows: DataFrame, n: int) -> tuple[np.ndarray, int]:
@@ -236,7 +236,7 @@ def document_windows(docs: DataFrame, shared: Broadcast, n_bits: int, sizes: lis
                 yield _emit(rows, [("doc_id", pa.int64()), ("text_hash", pa.int64())])
 
     keyed = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
-    return keyed.mapInArrow(run, f"doc_id long, text_hash long, {KEYED}")
+    return map_arrow(keyed, run, f"doc_id long, text_hash long, {KEYED}")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -13,10 +13,11 @@ DISTANCE + 1 rarest keys only, in an order by frequency that is the same for all
 one class has come first and need no lookup.
 
 Keys of many classes (long shared passages, large families of copies) aren't expanded to pairs.
-Their members take an exact way on full sets: sets with a similarity of 0.75 share a shingle among
-the rarest quarter of each. Where such a shingle is itself common, members are compared with three
-centres; then only members outside the component of the majority are compared with all others of
-that shingle, since a link within a component adds nothing to it.
+Their members take an exact way on full sets. Sets of x and y shingles with a similarity of 0.75
+share 3/7 (x + y) or more, so the rarest shingle they share stands early enough in either order
+to leave room for the rest. Where such a shingle is itself common, members are compared with its
+centres; then members outside the component of the majority are compared with those others of
+that shingle for which there is room, since a link within a component adds nothing to it.
 
 Defined cases: a document without words or text has no shingles and is linked with nothing. Rows
 that share doc_id are one document. A row without doc_id takes no part: its component is null and it
@@ -28,7 +29,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
@@ -42,7 +43,6 @@ SIMILARITY = 75
 VALUES, DISTANCE = 64, 33
 #: Classes under one key up to which all their pairs are taken.
 SMALL = 24
-CENTRES = 3
 
 _RNG = np.random.default_rng(10)
 _XOR = _RNG.integers(0, 1 << 32, VALUES, np.uint64).astype(np.uint32)
@@ -124,19 +124,19 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _rarest(keys: DataFrame) -> DataFrame:
-    """The keys under which a class must be looked up: keys (key, cid, total, reach) with their size.
+    """The keys under which a class must be looked up: keys (key, cid, total, reach) with size and place.
 
-    total: keys the class has; reach: how many of its rarest ones matter. Keys of one class only
-    fall away, but count as the rarest.
+    total: keys the class has; reach: how many of its rarest ones matter; place: where the key
+    stands in the class's order by frequency. Keys of one class only fall away, but count as the rarest.
     """
     sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     shared = keys.join(sizes, "key")
     own = W.partitionBy("cid")
     return (
-        shared.withColumn("place", F.row_number().over(own.orderBy("size", "key")))
-        .withColumn("alone", F.col("total") - F.count(F.lit(1)).over(own))
-        .where(F.col("place") + F.col("alone") <= F.col("reach"))
-        .select("key", "cid", "size")
+        shared.withColumn("alone", F.col("total") - F.count(F.lit(1)).over(own))
+        .withColumn("place", F.row_number().over(own.orderBy("size", "key")) + F.col("alone"))
+        .where(F.col("place") <= F.col("reach"))
+        .select("key", "cid", "size", "total", "place")
     )
 
 
@@ -148,17 +148,31 @@ def _pairs(small: DataFrame) -> DataFrame:
     return first.select("a", F.explode(rest).alias("b")).distinct()
 
 
+def _room(total_a: Column, place_a: Column, total_b: Column, place_b: Column) -> Column:
+    """Whether sets can be similar whose rarest common shingle stands at these places, or further on."""
+    needed = F.ceil((total_a + total_b) * SIMILARITY / (100 + SIMILARITY))
+    sizes = 100 * F.least(total_a, total_b) >= SIMILARITY * F.greatest(total_a, total_b)
+    return sizes & (total_a - place_a + 1 >= needed) & (total_b - place_b + 1 >= needed)
+
+
 def _with_centres(large: DataFrame) -> DataFrame:
-    """Pairs of each class under a common key with the key's centres."""
-    names = [f"c{i}" for i in range(CENTRES)]
+    """Pairs of each class under a common key with the key's centres.
+
+    One centre is the class for which the key stands first, hence with the fewest rarer shingles;
+    the other is any.
+    """
+    row = F.struct("cid", "total", "place")
     chosen = large.groupBy("key").agg(
-        *(F.min_by("cid", F.xxhash64("cid", F.lit(i))).alias(c) for i, c in enumerate(names))
-    )
-    near = large.join(chosen, "key").groupBy("cid").agg(*(F.collect_set(c).alias(c) for c in names))
-    other = near.select("cid", F.explode(F.array_distinct(F.concat(*names))).alias("other"))
-    return other.where("cid != other").select(
-        F.least("cid", "other").alias("a"), F.greatest("cid", "other").alias("b")
+        F.min_by(row, F.struct("place", "cid")).alias("c0"), F.min_by(row, F.xxhash64("cid", "key")).alias("c1")
     )
+    near = large.join(chosen, "key")
+    other = [
+        F.when(_room(F.col("total"), F.col("place"), F.col(f"{c}.total"), F.col(f"{c}.place")), F.col(f"{c}.cid"))
+        for c in ("c0", "c1")
+    ]
+    near = near.groupBy("cid").agg(*(F.collect_set(o).alias(f"o{i}") for i, o in enumerate(other)))
+    pairs = near.select("cid", F.explode(F.array_union("o0", "o1")).alias("other")).where("cid != other")
+    return pairs.select(F.least("cid", "other").alias("a"), F.greatest("cid", "other").alias("b"))
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -179,7 +193,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def _stragglers(large: DataFrame, labels: DataFrame, compared: DataFrame) -> DataFrame:
     """Pairs under common keys that lie in different components, of which one isn't the key's largest."""
     marked = large.join(labels.withColumnRenamed("node", "cid"), "cid", "left").select(
-        "key", "cid", F.coalesce("label", "cid").alias("label")
+        "key", "cid", "total", "place", F.coalesce("label", "cid").alias("label")
     )
     sized = marked.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
     split = (
@@ -189,9 +203,11 @@ def _stragglers(large: DataFrame, labels: DataFrame, compared: DataFrame) -> Dat
         .drop("parts")
     )
     marked = marked.join(split, "key")
-    outside = marked.where("label != main").select("key", F.col("cid").alias("x"), F.col("label").alias("own"))
-    pairs = outside.join(marked, "key").where("own != label").select(
-        F.least("x", "cid").alias("a"), F.greatest("x", "cid").alias("b")
+    outside = marked.where("label != main").select(*(F.col(c).alias(f"x_{c}") for c in marked.columns))
+    fits = _room(F.col("x_total"), F.col("x_place"), F.col("total"), F.col("place"))
+    apart = (F.col("x_key") == F.col("key")) & (F.col("x_label") != F.col("label")) & fits
+    pairs = outside.join(marked, apart).select(
+        F.least("x_cid", "cid").alias("a"), F.greatest("x_cid", "cid").alias("b")
     )
     return pairs.distinct().join(compared, ["a", "b"], "left_anti")
 

@@ -20,6 +20,7 @@ from coursepulse.plans.queries import QUERIES
 
 HEADLINE = (
     "step_activity_clean",
+    "step_activity_clean_any_week",
     "dup_groups_step_activity",
     "steps_per_run",
     "learner_engagement",
@@ -29,6 +30,7 @@ HEADLINE = (
     "completion_by_demographic_age_range",
     "week1_metrics",
     "learner_with_week1",
+    "learner_with_week1_any_week",
     "completion_by_week1_level",
     "weekly_retention",
     "week1_level_distribution",

@@ -17,6 +17,7 @@ LEARNER_KEYS = ("learner_id", "course_run")
 # Raw CSV tables: column -> type. "utc" is a text column holding "yyyy-MM-dd HH:mm:ss UTC".
 UTC, STR, INT, LONG, DBL = "utc", "string", "int", "bigint", "double"
 
+# Columns of the enrolment files that describe a learner (fixed values).
 DEMOGRAPHICS = (
     "gender",
     "country",
@@ -49,6 +50,7 @@ class CsvTable:
         return [c for c, kind in self.columns.items() if kind == UTC]
 
 
+# Columns of the per-run files (fixed values).
 CSV_TABLES = {
     "step-activity": CsvTable(
         {
@@ -104,22 +106,26 @@ CSV_TABLES = {
             "total_caption_views": INT,
             "total_transcript_views": INT,
             "viewed_hd": DBL,
-            **{
-                f"viewed_{share}_percent": DBL
-                for share in (
-                    "five", "ten", "twentyfive", "fifty", "seventyfive", "ninetyfive", "onehundred",
-                )
-            },
-            **{
-                f"{device}_device_percentage": DBL
-                for device in ("console", "desktop", "mobile", "tv", "tablet", "unknown")
-            },
-            **{
-                f"{region}_views_percentage": DBL
-                for region in (
-                    "europe", "oceania", "asia", "north_america", "south_america", "africa", "antarctica",
-                )
-            },
+            "viewed_five_percent": DBL,
+            "viewed_ten_percent": DBL,
+            "viewed_twentyfive_percent": DBL,
+            "viewed_fifty_percent": DBL,
+            "viewed_seventyfive_percent": DBL,
+            "viewed_ninetyfive_percent": DBL,
+            "viewed_onehundred_percent": DBL,
+            "console_device_percentage": DBL,
+            "desktop_device_percentage": DBL,
+            "mobile_device_percentage": DBL,
+            "tv_device_percentage": DBL,
+            "tablet_device_percentage": DBL,
+            "unknown_device_percentage": DBL,
+            "europe_views_percentage": DBL,
+            "oceania_views_percentage": DBL,
+            "asia_views_percentage": DBL,
+            "north_america_views_percentage": DBL,
+            "south_america_views_percentage": DBL,
+            "africa_views_percentage": DBL,
+            "antarctica_views_percentage": DBL,
         }
     ),
 }

@@ -1,4 +1,4 @@
-"""Box-plot statistics and outliers of the engagement measures, exact and without a shuffle of rows."""
+"""Box-plot statistics and outliers of measures in long form, exact for every group size."""
 
 from __future__ import annotations
 
@@ -11,107 +11,94 @@ from pyspark.sql import functions as F
 from coursepulse.operators.distributions import ENGAGEMENT_METRICS
 
 METRICS = tuple(ENGAGEMENT_METRICS.values())
-# Two groups per metric are broadcast, three rows each; more metrics than this are refused.
-MAX_METRICS = 1_000
 GROUP = ("metric", "completed")
-QUARTILES = (0.25, 0.5, 0.75)
+QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 # Whisker reach in interquartile ranges (fixed value).
 REACH = 1.5
+# Sub-ranges per doubling of a value; a double spans some 2,000 doublings.
+SUBRANGES = 1_024
+# A list of this many metrics bounds the tables of one row per group; they may then be broadcast.
+FEW_METRICS = 1_000
+# The two ranks that a quartile lies between.
+EDGES = {"low": F.floor, "high": F.ceil}
 
 
-def _values(long: DataFrame, metrics: Sequence[str]) -> DataFrame:
-    """Present values of the named metrics, so that the number of groups has a known bound."""
-    if len(metrics) > MAX_METRICS:
-        raise ValueError(f"box plots of more than {MAX_METRICS} metrics at once")
-    return long.where(F.col("metric").isin(list(metrics)) & F.col("value").isNotNull())
+def _values(long: DataFrame, metrics: Sequence[str] | None) -> DataFrame:
+    present = long.where(F.col("value").isNotNull())
+    return present if metrics is None else present.where(F.col("metric").isin(list(metrics)))
 
 
-def quartiles(
-    long: DataFrame, metrics: Sequence[str] = METRICS, accuracy: int = 10_000
-) -> DataFrame:
+def _per_group(small: DataFrame, metrics: Sequence[str] | None) -> DataFrame:
+    """A table of a few rows per group; its size is known only if the metrics are listed."""
+    return F.broadcast(small) if metrics is not None and len(metrics) <= FEW_METRICS else small
+
+
+def _subrange() -> Column:
+    """Number of the fixed sub-range a value lies in; grows with the value."""
+    value = F.col("value")
+    return F.floor(F.signum(value) * F.log2(1 + F.abs(value)) * SUBRANGES)
+
+
+def quartiles(long: DataFrame, metrics: Sequence[str] | None = None) -> DataFrame:
     """Exact quartiles (linear interpolation) per metric and completion flag.
 
-    The exact percentile function would keep every distinct duration of a group in one task.
-    Instead a quantile sketch of fixed size, whose rank error is at most ``n / accuracy``,
-    gives a lower and an upper value around each quartile. A second pass counts the rows below
-    the band and ranks only the values inside it, about ``4 / accuracy`` of the group. Should a
-    band ever miss its rank, the query fails rather than return a near value.
+    A first pass counts the values of each sub-range, combined before the shuffle, which tells the
+    sub-ranges that hold the ranks sought (two for each quartile). A second pass counts the
+    distinct values of those sub-ranges alone. No rank can be missed, whatever the group's size;
+    a group whose values all lie in one sub-range costs a sort of its distinct values.
+
+    ``metrics`` limits the groups; without it every metric there is gets its quartiles.
     """
-    values = _values(long, metrics)
-    margin = 2.0 / accuracy
-    edges = [max(p - margin, 0.0) for p in QUARTILES] + [min(p + margin, 1.0) for p in QUARTILES]
-    sketch = values.groupBy(*GROUP).agg(
-        F.percentile_approx("value", edges, accuracy).alias("edges"),
-        F.count(F.lit(1)).alias("total"),
-    )
-    bands = sketch.select(
+    values = _values(long, metrics).withColumn("subrange", _subrange())
+    counted = values.groupBy(*GROUP, "subrange").agg(F.count(F.lit(1)).alias("n"))
+    group = W.partitionBy(*GROUP)
+    placed = counted.select(
         *GROUP,
-        "total",
-        F.inline(
-            F.array(
-                *(
-                    F.struct(
-                        F.lit(i).alias("quartile"),
-                        ((F.col("total") - 1) * F.lit(p)).alias("rank"),
-                        F.col("edges")[i].alias("low"),
-                        F.col("edges")[len(QUARTILES) + i].alias("high"),
-                    )
-                    for i, p in enumerate(QUARTILES)
-                )
-            )
-        ),
-    )
-    # One row per named metric, flag and quartile.
-    near = values.join(F.broadcast(bands), list(GROUP)).where(F.col("value") <= F.col("high"))
-    in_band = F.when(F.col("value") >= F.col("low"), F.col("value"))
-    counts = near.groupBy(*GROUP, "quartile", "rank", in_band.alias("v")).agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    upto = F.sum("n").over(
-        W.partitionBy(*GROUP, "quartile", "rank").orderBy(F.asc_nulls_first("v"))
-    )
-    lower, upper = F.floor("rank"), F.ceil("rank")
-    found = (
-        counts.withColumn("upto", upto)
-        .groupBy(*GROUP, "quartile", "rank")
-        .agg(
-            F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0)).alias("below"),
-            F.max("upto").alias("seen"),
-            F.min(F.when(F.col("upto") > lower, F.col("v"))).alias("at_lower"),
-            F.min(F.when(F.col("upto") > upper, F.col("v"))).alias("at_upper"),
-        )
+        "subrange",
+        (F.sum("n").over(group.orderBy("subrange")) - F.col("n")).alias("before"),
+        "n",
+        F.sum("n").over(group).alias("total"),
     )
-    covered = (F.col("below") <= lower) & (F.col("seen") > upper)
-    exact = F.when(
-        covered,
-        F.col("at_lower") + (F.col("rank") - lower) * (F.col("at_upper") - F.col("at_lower")),
-    ).otherwise(F.raise_error(F.lit("quantile band missed its rank; lower the accuracy margin")))
-    return (
-        found.withColumn("exact", exact)
-        .groupBy(*GROUP)
-        .agg(
-            *(
-                F.max(F.when(F.col("quartile") == i, F.col("exact"))).alias(name)
-                for i, name in enumerate(("q1", "median", "q3"))
-            )
-        )
+    ranks = {name: (F.col("total") - 1) * F.lit(p) for name, p in QUARTILES.items()}
+    sought = [edge(rank) for rank in ranks.values() for edge in EDGES.values()]
+
+    def holds(first: Column, n: Column) -> Column:
+        return F.exists(F.array(*sought), lambda rank: (rank >= first) & (rank < first + n))
+
+    targets = placed.where(holds(F.col("before"), F.col("n"))).select(*GROUP, "subrange", "before", "total")
+    near = values.join(_per_group(targets, metrics), [*GROUP, "subrange"])
+    distinct = near.groupBy(*GROUP, "subrange", "before", "total", "value").agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(W.partitionBy(*GROUP, "subrange").orderBy("value"))
+    first = distinct.withColumn("first", F.col("before") + upto - F.col("n"))
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((rank >= F.col("first")) & (rank < F.col("first") + F.col("n")), F.col("value")))
+
+    found = first.groupBy(*GROUP, "total").agg(
+        *(at(edge(rank)).alias(f"{name}_{e}") for name, rank in ranks.items() for e, edge in EDGES.items())
     )
 
+    def between(name: str) -> Column:
+        low, high = F.col(f"{name}_low"), F.col(f"{name}_high")
+        return low + (ranks[name] - F.floor(ranks[name])) * (high - low)
+
+    return found.select(*GROUP, *(between(name).alias(name) for name in QUARTILES))
+
 
-def _with_fences(long: DataFrame, metrics: Sequence[str]) -> DataFrame:
-    """Values with the quartiles and fences of their group, a row per named metric and flag."""
+def _with_fences(long: DataFrame, metrics: Sequence[str] | None) -> DataFrame:
+    """Values with the quartiles and fences of their group."""
     reach = (F.col("q3") - F.col("q1")) * REACH
     fences = quartiles(long, metrics).withColumns(
         {"lower_fence": F.col("q1") - reach, "upper_fence": F.col("q3") + reach}
     )
-    return _values(long, metrics).join(F.broadcast(fences), list(GROUP))
+    return _values(long, metrics).join(_per_group(fences, metrics), list(GROUP))
 
 
 def _outside() -> Column:
     return (F.col("value") < F.col("lower_fence")) | (F.col("value") > F.col("upper_fence"))
 
 
-def box_statistics(long: DataFrame, metrics: Sequence[str] = METRICS) -> DataFrame:
+def box_statistics(long: DataFrame, metrics: Sequence[str] | None = None) -> DataFrame:
     """Quartiles, whiskers and number of outliers per metric and completion flag.
 
     A whisker ends at the furthest value within the fence, and never inside the box.
@@ -139,6 +126,6 @@ def box_statistics(long: DataFrame, metrics: Sequence[str] = METRICS) -> DataFra
     )
 
 
-def outliers(long: DataFrame, metrics: Sequence[str] = METRICS) -> DataFrame:
+def outliers(long: DataFrame, metrics: Sequence[str] | None = None) -> DataFrame:
     """Values beyond the fences of their group."""
     return _with_fences(long, metrics).where(_outside()).select(*long.columns)

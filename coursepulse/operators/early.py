@@ -63,13 +63,12 @@ def _week_measures(bands: Bands) -> tuple[dict[str, Column], dict[str, Column]]:
 def week1_metrics(
     week_activity: DataFrame,
     week_steps_per_run: DataFrame,
-    n_runs: int | None = None,
     week: int = 1,
     bands: Bands = BANDS,
 ) -> DataFrame:
     """One row per (run, learner) active in the week."""
     metrics = week_activity.groupBy(*LEARNER_KEYS).agg(*_week_aggregates(week))
-    metrics = join_per_run(metrics, week_steps_per_run, n_runs)
+    metrics = join_per_run(metrics, week_steps_per_run)
     for columns in _week_measures(bands):
         metrics = metrics.withColumns(columns)
     return metrics
@@ -97,7 +96,6 @@ def learner_with_week1(
     enrolments: DataFrame,
     clean: DataFrame,
     sizes: DataFrame,
-    n_runs: int | None = None,
     week: int = 1,
     bands: Bands = BANDS,
 ) -> DataFrame:
@@ -112,7 +110,7 @@ def learner_with_week1(
         .withColumns(engagement_measures())
     )
     joined = enrolled_learners(enrolments).join(features, list(LEARNER_KEYS), "left")
-    joined = join_per_run(joined, sizes, n_runs).withColumns(summary_measures())
+    joined = join_per_run(joined, sizes).withColumns(summary_measures())
     was_active = F.col("week1_steps_visited") > 0
     joined = joined.withColumn("week1_total_steps", F.when(was_active, F.col("week1_total_steps")))
     for columns in _week_measures(bands):

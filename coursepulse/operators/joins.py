@@ -5,16 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A row is a run name and a few counts, so this many rows stay within some tens of megabytes.
-MAX_BROADCAST_RUNS = 100_000
 
-
-def join_per_run(df: DataFrame, per_run: DataFrame, n_runs: int | None = None) -> DataFrame:
+def join_per_run(df: DataFrame, per_run: DataFrame) -> DataFrame:
     """Left join a table of one row per run.
 
-    ``n_runs`` is the length of the list of runs the data was restricted to, hence an upper
-    bound on the rows of ``per_run``. The table is broadcast only within that bound; with more
-    runs, or an unknown number, Spark picks the join from the sizes it measures.
+    How many runs there are is known only at run time, so Spark picks the join from the size it
+    measures: a broadcast for the usual few runs, else a sort-merge join whose hot runs are split.
+    Spark splits only where both sides come straight from a shuffle of the join's own; a table just
+    grouped by run wouldn't, so its key is written as a new expression.
     """
-    bounded = n_runs is not None and n_runs <= MAX_BROADCAST_RUNS
-    return df.join(F.broadcast(per_run) if bounded else per_run, "course_run", "left")
+    own = per_run.withColumn("course_run", F.concat("course_run", F.lit("")))
+    return df.join(own, "course_run", "left")

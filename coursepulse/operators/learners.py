@@ -15,7 +15,8 @@ _COUNTS = ("total_steps_visited", "total_steps_completed", "num_weeks_active", "
 def engagement_aggregates() -> list[Column]:
     """Aggregates over the cleaned steps of one learner in one run.
 
-    Weeks are counted with NULL as a week of its own.
+    Weeks are counted with NULL as a week of its own. A learner's set of weeks is at most as long
+    as the course, so it is gathered in the grouping; counting distinct weeks would shuffle by week first.
     """
     return [
         F.count(F.lit(1)).alias("total_steps_visited"),
@@ -23,7 +24,7 @@ def engagement_aggregates() -> list[Column]:
         F.min("first_visited_at").alias("first_activity"),
         F.max(last_touch()).alias("last_activity"),
         (
-            F.count_distinct("week_number") + F.max(F.col("week_number").isNull().cast("int"))
+            F.size(F.collect_set("week_number")).cast("long") + F.max(F.col("week_number").isNull().cast("int"))
         ).alias("num_weeks_active"),
         F.max("week_number").alias("max_week_reached"),
     ]
@@ -72,14 +73,13 @@ def learner_summary(
     enrolments: DataFrame,
     engagement: DataFrame,
     steps_per_run: DataFrame,
-    n_runs: int | None = None,
 ) -> DataFrame:
     """One row per enrolment with demographics, engagement and completion.
 
     Activity of people who are not enrolled does not appear.
     """
     joined = enrolled_learners(enrolments).join(engagement, list(LEARNER_KEYS), "left")
-    return join_per_run(joined, steps_per_run, n_runs).withColumns(summary_measures())
+    return join_per_run(joined, steps_per_run).withColumns(summary_measures())
 
 
 def active_learners(summary: DataFrame) -> DataFrame:

@@ -2,25 +2,38 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable
 from copy import copy
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
 from coursepulse.functions.bands import Bands
-from coursepulse.model import BANDS, CSV_TABLES, REPORT_TABLES, require_columns, require_table
+from coursepulse.model import (
+    BANDS,
+    CSV_TABLES,
+    LEARNER_KEYS,
+    REPORT_TABLES,
+    inconsistent_steps,
+    require_columns,
+    require_keys,
+    require_table,
+)
 from coursepulse.operators import activity as act
 from coursepulse.operators import early, learners
 from coursepulse.sources import csv_runs, star, store
 
 
+def _as_options(stored: dict) -> dict:
+    """Options as read back from the store, in the form that ``CourseTables.options`` has."""
+    return {**stored, "bands": tuple(map(tuple, stored["bands"]))} if stored else {}
+
+
 class CourseTables:
     """Derived tables by name; each is a lazy DataFrame, and only those asked for are planned.
 
-    ``runs`` is the list of runs the inputs hold; its length bounds the tables of one row per
-    run. ``step_fixes_week`` states that a step always has the same week and step number (see
-    ``operators.activity.clean_step_activity``).
+    ``step_fixes_week`` states that a step always has the same week and step number (see
+    ``operators.activity.clean_step_activity``); ``validate`` checks it.
     """
 
     # Tables of about the size of an input, stored by run.
@@ -54,7 +67,6 @@ class CourseTables:
         self,
         step_activity: DataFrame,
         enrolments: DataFrame,
-        runs: Sequence[str] | None = None,
         *,
         week: int = 1,
         bands: Bands = BANDS,
@@ -66,7 +78,6 @@ class CourseTables:
         require_columns(enrolments, CSV_TABLES["enrolments"].required, "enrolments")
         self.step_activity_all = step_activity
         self.enrolments_all = enrolments
-        self.n_runs = None if runs is None else len(runs)
         self.week = week
         self.bands = bands
         self.step_fixes_week = step_fixes_week
@@ -85,7 +96,6 @@ class CourseTables:
         return cls(
             csv_runs.load_step_activity(spark, folder, course, runs=runs),
             csv_runs.load_enrolments(spark, folder, course, runs=runs),
-            csv_runs.run_names(course, runs),
             **options,
         )
 
@@ -93,30 +103,59 @@ class CourseTables:
     def from_star(cls, spark: SparkSession, folder: str, **options) -> CourseTables:
         """Tables over the orders star schema, whose steps are built from the week number."""
         options = {"step_fixes_week": True, **options}
-        return cls(star.step_activity(spark, folder), star.enrolments(spark, folder), star.RUNS, **options)
+        return cls(star.step_activity(spark, folder), star.enrolments(spark, folder), **options)
 
     @classmethod
-    def from_store(cls, spark: SparkSession, folder: str, runs: Sequence[str] | None = None, **options) -> CourseTables:
-        """Tables published earlier with ``publish``; nothing is derived again."""
+    def from_store(cls, spark: SparkSession, folder: str, **options) -> CourseTables:
+        """Tables published earlier with ``publish``, with the options they were published with.
+
+        Options that differ are honoured: then only the inputs and the cleaned activity are
+        taken from the store, and everything else is derived from these.
+        """
         store.require_published(spark, folder, REPORT_TABLES)
         names = [*cls.LARGE, *cls.SMALL, "run_sizes"]
         loaded = {name: store.load(spark, folder, name) for name in store.published(spark, folder, names)}
-        tables = cls(loaded.pop("step_activity_all"), loaded.pop("enrolments_all"), runs, **options)
+        known = store.load_options(spark, folder)
+        tables = cls(
+            loaded.pop("step_activity_all"), loaded.pop("enrolments_all"), **{**_as_options(known or {}), **options}
+        )
+        if known is None or tables.options != _as_options(known):
+            vars(tables).update(step_activity_clean=loaded["step_activity_clean"])
+            return tables
         tables._serve_learners(loaded["learner_with_week1"])
         vars(tables).update(loaded)
         return tables
 
+    @property
+    def options(self) -> dict:
+        """What the derived tables depend on besides the inputs."""
+        return {"week": self.week, "bands": tuple(map(tuple, self.bands)), "step_fixes_week": self.step_fixes_week}
+
+    def validate(self) -> CourseTables:
+        """Check what the joins and the dedup assume: keys are present, a step has one week if so stated.
+
+        Runs two or three aggregations over the inputs. ``publish`` calls it; lazy use skips it.
+        """
+        require_keys(self.step_activity_all, (*LEARNER_KEYS, "step"), "step_activity")
+        require_keys(self.enrolments_all, LEARNER_KEYS, "enrolments")
+        if self.step_fixes_week and not inconsistent_steps(self.step_activity_all).isEmpty():
+            raise ValueError("step_activity has steps with several weeks or step numbers; unset step_fixes_week")
+        return self
+
     def publish(self, folder: str, names: Iterable[str] = (*LARGE, *SMALL)) -> CourseTables:
         """Write the named tables as Parquet and serve them from there afterwards.
 
         The cleaned activity, the run sizes and the learner table are written first and the
-        rest is derived from the written ones, so nothing expensive is computed twice.
+        rest is derived from the written ones, so nothing expensive is computed twice. The inputs
+        are validated first, and the options are stored beside the tables.
         """
+        self.validate()
         for name in dict.fromkeys([*self.BASE, *names]):
             written = store.publish(getattr(self, name), folder, name, partitioned=name in self.LARGE)
             vars(self)[name] = written
             if name == "learner_with_week1":
                 self._serve_learners(written)
+        store.save_options(self.enrolments_all.sparkSession, folder, self.options)
         return self
 
     def _serve_learners(self, stored: DataFrame) -> None:
@@ -125,12 +164,13 @@ class CourseTables:
         vars(self)["learner_summary"] = stored.select(*summary)
         vars(self)["learner_week1"] = stored
 
-    def co_locate(self, folder: str, buckets: int, prefix: str = "") -> CourseTables:
+    def co_locate(self, folder: str, buckets: int, prefix: str) -> CourseTables:
         """Store cleaned activity and enrolments bucketed by learner and serve them from there.
 
         For repeated analyses (other weeks, other bands): the shuffles by learner are paid once
         here, and every learner table derived afterwards reads its buckets in place. Returns
-        new ``CourseTables``; the names of the stored tables start with ``prefix``.
+        new ``CourseTables``; the names of the stored tables start with ``prefix``, one for each
+        course, and ``from_buckets`` opens them in a later session.
         """
         clean, people = (
             store.save_bucketed(df, folder, f"{prefix}{name}", buckets)
@@ -141,6 +181,13 @@ class CourseTables:
         )
         return self._with_inputs(clean, people)
 
+    @classmethod
+    def from_buckets(cls, spark: SparkSession, folder: str, prefix: str, **options) -> CourseTables:
+        """Tables over activity and enrolments stored by ``co_locate``; the stored activity is clean already."""
+        clean = store.open_bucketed(spark, folder, f"{prefix}step_activity_clean")
+        people = store.open_bucketed(spark, folder, f"{prefix}enrolments_all")
+        return cls(clean, people, **options)._with_inputs(clean, people)
+
     def _with_inputs(self, clean: DataFrame, enrolments: DataFrame) -> CourseTables:
         """The same course over an activity table that is already clean."""
         tables = copy(self)
@@ -189,7 +236,7 @@ class CourseTables:
     @cached_property
     def learner_summary(self) -> DataFrame:
         return learners.learner_summary(
-            self.enrolments_all, self.learner_engagement, self.steps_per_run, self.n_runs
+            self.enrolments_all, self.learner_engagement, self.steps_per_run
         )
 
     @cached_property
@@ -209,7 +256,7 @@ class CourseTables:
     @cached_property
     def week1_metrics(self) -> DataFrame:
         return early.week1_metrics(
-            self.week1_activity, self.week1_steps_per_run, self.n_runs, self.week, self.bands
+            self.week1_activity, self.week1_steps_per_run, self.week, self.bands
         )
 
     @cached_property
@@ -218,7 +265,6 @@ class CourseTables:
             self.enrolments_all,
             self.step_activity_clean,
             self.run_sizes,
-            self.n_runs,
             self.week,
             self.bands,
         )

@@ -43,6 +43,11 @@ def visit_texts(t: CourseTables) -> DataFrame:
     )
 
 
+def any_week(t: CourseTables) -> CourseTables:
+    """The same inputs without the statement that a step fixes its week, as for files of unknown origin."""
+    return CourseTables(t.step_activity_all, t.enrolments_all, week=t.week, bands=t.bands)
+
+
 def steps_histogram(t: CourseTables) -> DataFrame:
     return histogram.histogram(t.learner_summary_active, "total_steps_completed", ["completed"], STEP_BINS)
 
@@ -97,16 +102,21 @@ QUERIES: dict[str, Query] = {
     "weekly_retention": lambda t: distributions.weekly_retention(t.step_activity_clean),
     "weekly_retention_by_run": lambda t: distributions.weekly_retention(t.step_activity_clean, by_run=True),
     "week1_level_distribution": lambda t: distributions.level_distribution(t.learner_week1),
+    "step_activity_clean_any_week": lambda t: any_week(t).step_activity_clean,
+    "week1_metrics_any_week": lambda t: any_week(t).week1_metrics,
+    "learner_with_week1_any_week": lambda t: any_week(t).learner_with_week1,
     "engagement_long": lambda t: distributions.engagement_long(t.learner_summary_active),
     "week1_vs_overall_long": lambda t: distributions.week1_vs_overall_long(t.learner_with_week1_active),
     "steps_histogram": steps_histogram,
     "steps_histogram_peak": lambda t: histogram.peak(steps_histogram(t)),
     "week1_vs_overall_histogram": rates_histogram,
     "engagement_boxplot": lambda t: rounded(
-        boxplot.box_statistics(distributions.engagement_long(t.learner_summary_active)),
+        boxplot.box_statistics(distributions.engagement_long(t.learner_summary_active), boxplot.METRICS),
         "lower_whisker", "q1", "median", "q3", "upper_whisker",
     ),
-    "engagement_outliers": lambda t: boxplot.outliers(distributions.engagement_long(t.learner_summary_active)),
+    "engagement_outliers": lambda t: boxplot.outliers(
+        distributions.engagement_long(t.learner_summary_active), boxplot.METRICS
+    ),
     "threshold_curve": lambda t: distributions.threshold_curve(t.learner_week1_active),
     "week1_steps_trend": lambda t: rounded(steps_trend(t), "trend"),
     # Report
@@ -117,9 +127,9 @@ QUERIES: dict[str, Query] = {
     "week1_dist_table": lambda t: report.week1_dist_table(t.learner_week1),
     "week1_comp_table": lambda t: report.week1_comp_table(t.week1_by_completion),
     "comp_by_level_table": lambda t: report.comp_by_level_table(t.completion_by_week1_level),
-    "week1_lift": lambda t: report.week1_lift(t.completion_by_week1_level),
+    "week1_lift": lambda t: report.week1_lift(t.completion_by_week1_level, t.bands),
     "activation_gap": lambda t: report.activation_gap(t.completion_overall),
-    "week1_high_share": lambda t: report.week1_high_share(t.learner_week1),
+    "week1_high_share": lambda t: report.week1_high_share(t.learner_week1, t.bands),
     "mean_course_size": lambda t: report.mean_course_size(t.steps_per_run, t.week1_steps_per_run),
     "dataset_dimensions": lambda t: report.dataset_dimensions(
         t.enrolments_all, t.step_activity_all, t.dup_groups_step_activity

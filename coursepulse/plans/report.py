@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from coursepulse.functions import count_text, fraction_true, percent_text
+from coursepulse.functions.bands import Bands
+from coursepulse.model import BANDS
 from coursepulse.operators.distributions import level_distribution
 
 
@@ -85,13 +87,20 @@ def comp_by_level_table(by_level: DataFrame) -> DataFrame:
     )
 
 
-def week1_lift(by_level: DataFrame) -> DataFrame:
+def _by_floor(bands: Bands) -> list[str]:
+    """Labels of the bands, the lowest first."""
+    return [label for label, floor in sorted(bands, key=lambda band: band[1])]
+
+
+def week1_lift(by_level: DataFrame, bands: Bands = BANDS) -> DataFrame:
     """Completion of the highest and the lowest active band, and the ratio of the two."""
+    labels = _by_floor(bands)
+    lowest, highest = labels[0], labels[-1]
 
     def rate(level: str):
         return F.max(F.when(F.col("week1_engagement_level") == level, F.col("completion_rate")))
 
-    return by_level.agg(rate("High").alias("high"), rate("Very Low").alias("very_low")).select(
+    return by_level.agg(rate(highest).alias("high"), rate(lowest).alias("very_low")).select(
         F.round(F.col("high") * 100, 1).alias("high_percent"),
         F.round(F.col("very_low") * 100, 1).alias("very_low_percent"),
         F.round(F.try_divide("high", "very_low"), 1).alias("lift"),
@@ -104,9 +113,9 @@ def activation_gap(overall: DataFrame) -> DataFrame:
     return overall.select(F.round(gap * 100, 1).alias("activation_gap_percent"))
 
 
-def week1_high_share(learners: DataFrame) -> DataFrame:
+def week1_high_share(learners: DataFrame, bands: Bands = BANDS) -> DataFrame:
     """Percentage of all learners in the highest band."""
-    is_high = F.col("week1_engagement_level") == "High"
+    is_high = F.col("week1_engagement_level") == _by_floor(bands)[-1]
     return learners.agg(F.round(fraction_true(is_high) * 100, 1).alias("high_share_percent"))
 
 
@@ -134,13 +143,21 @@ def dataset_dimensions(enrolments: DataFrame, activity: DataFrame, duplicates: D
 
 
 def format_summary_table(df: DataFrame, digits: int = 2) -> DataFrame:
-    """Numeric columns rounded and written with thousands separators; others unchanged."""
+    """Numeric columns rounded and written with thousands separators; others unchanged.
+
+    All numbers of a column get the decimals that the one with the most needs.
+    """
+
+    def needed(name: str):
+        exact = F.round(name, digits)
+        enough = (F.when(F.round(name, d) == exact, d) for d in range(digits + 1))
+        return df.agg(F.coalesce(F.max(F.coalesce(*enough)), F.lit(0))).scalar()
 
     def text(f: T.StructField):
         if isinstance(f.dataType, T.IntegralType):
             return count_text(f.name).alias(f.name)
         if isinstance(f.dataType, T.NumericType):
-            return F.format_number(F.round(f.name, digits), digits).alias(f.name)
+            return F.call_function("format_number", F.round(f.name, digits), needed(f.name)).alias(f.name)
         return F.col(f.name)
 
     return df.select(*(text(f) for f in df.schema.fields))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from collections import defaultdict
 from collections.abc import Iterable, Sequence
 from functools import reduce
@@ -42,10 +43,9 @@ def load_runs(
     """
     spec = CSV_TABLES[table]
     by_header = defaultdict(list)
-    for path in _present_files(spark, folder, table, run_names(course, runs)):
-        header = tuple(spark.read.option("header", True).csv(path).columns)
-        if header:
-            by_header[header].append(path)
+    paths = _present_files(spark, folder, table, run_names(course, runs))
+    for path, header in _headers(spark, paths).items():
+        by_header[header].append(path)
     if not by_header:
         return _empty(spark, spec)
     scans = [_scan(spark, spec, table, header, paths) for header, paths in by_header.items()]
@@ -66,6 +66,18 @@ def _present_files(spark: SparkSession, folder: str, table: str, names: list[str
     return sorted(row.path for row in wanted.collect())
 
 
+def _headers(spark: SparkSession, paths: list[str]) -> dict[str, tuple[str, ...]]:
+    """Column names of every file that has a first line, read from all files in one job."""
+    if not paths:
+        return {}
+    lines = spark.read.text(paths).select("value", "_metadata.file_name", "_metadata.file_block_start")
+    # The rows of a file's first block come in order and from one task.
+    first = lines.where("file_block_start = 0").groupBy("file_name").agg(F.first("value").alias("line"))
+    by_name = {path.rsplit("/", 1)[-1]: path for path in paths}
+    found = {by_name[row.file_name]: row.line.removeprefix("\ufeff") for row in first.collect()}
+    return {path: tuple(next(csv.reader([found[path]]))) for path in paths if found.get(path)}
+
+
 def _scan(
     spark: SparkSession, spec: CsvTable, table: str, header: Sequence[str], paths: list[str]
 ) -> DataFrame:

@@ -196,6 +196,13 @@ def _pct(value: str) -> str:
     return rf"(regexp_replace(printf('%.1f', round({value}, 1)), '\.0$', '') || '%')"
 
 
+def _common(name: str) -> str:
+    """A column as text, with as many decimals, two at most, as its longest number needs."""
+    needs = f"CASE WHEN {name} IS NULL THEN 0 ELSE length(rtrim(split_part(format('{{:.2f}}', round({name}, 2)), '.', 2), '0')) END"
+    forms = " ".join(f"WHEN {d} THEN format('{{:,.{d}f}}', round({name}, 2))" for d in range(3))
+    return f"CASE max({needs}) OVER () {forms} END AS {name}"
+
+
 def _comma(n: str) -> str:
     return f"format('{{:,}}', {n})"
 
@@ -295,6 +302,7 @@ ORACLE = {
     ),
     "dup_groups_step_activity": _with("SELECT * FROM duplicates"),
     "step_activity_clean": _with("SELECT * FROM clean"),
+    "step_activity_clean_any_week": _with("SELECT * FROM clean"),
     "steps_per_run": _with("SELECT * FROM course_size"),
     "learner_engagement": _with("SELECT * FROM engagement"),
     "learner_summary": _with("SELECT * FROM summary"),
@@ -324,7 +332,9 @@ ORACLE = {
     "week1_activity": _with("SELECT * FROM week_activity"),
     "week1_steps_per_run": _with("SELECT * FROM week_size"),
     "week1_metrics": _with("SELECT * FROM week_metrics"),
+    "week1_metrics_any_week": _with("SELECT * FROM week_metrics"),
     "learner_with_week1": _with("SELECT * FROM learners"),
+    "learner_with_week1_any_week": _with("SELECT * FROM learners"),
     "learner_with_week1_active": _with("SELECT * FROM week_active"),
     "week1_summary": _with(
         """SELECT count(*) AS n_enrolled, count(*) FILTER (WHERE week1_steps_visited > 0) AS n_week1_active,
@@ -445,10 +455,8 @@ ORACLE = {
                   (SELECT count(*) FROM duplicates) AS duplicate_groups"""
     ),
     "format_summary_table": _with(
-        f"""SELECT completed, {_comma('n')} AS n,
-                   format('{{:,.2f}}', round(mean_steps_completed, 2)) AS mean_steps_completed,
-                   format('{{:,.2f}}', round(median_steps_completed, 2)) AS median_steps_completed,
-                   format('{{:,.2f}}', round(mean_weeks_active, 2)) AS mean_weeks_active
+        f"""SELECT completed, {_comma('n')} AS n, {_common('mean_steps_completed')}, {_common('median_steps_completed')},
+                   {_common('mean_weeks_active')}
             FROM by_completion"""
     ),
 }

@@ -98,10 +98,10 @@ def heavy_groups(rng):
     }
 
 
-@pytest.mark.parametrize("accuracy", [20, 100, 10_000])
-def test_quartiles_are_exact(spark, accuracy):
-    groups = heavy_groups(random.Random(accuracy))
-    rows = boxplot.quartiles(as_long(spark, groups).repartition(6), "abc", accuracy).collect()
+@pytest.mark.parametrize("metrics", [None, "abc"])
+def test_quartiles_are_exact(spark, metrics):
+    groups = heavy_groups(random.Random(7))
+    rows = boxplot.quartiles(as_long(spark, groups).repartition(6), metrics).collect()
     assert len(rows) == len(groups)
     for r in rows:
         values = [v for v in groups[r.metric, r.completed] if v is not None]
@@ -111,8 +111,8 @@ def test_quartiles_are_exact(spark, accuracy):
 def test_box_statistics_and_outliers(spark):
     groups = heavy_groups(random.Random(2))
     df = as_long(spark, groups)
-    out = boxplot.outliers(df, "abc").collect()
-    boxes = boxplot.box_statistics(df, "abc").collect()
+    out = boxplot.outliers(df).collect()
+    boxes = boxplot.box_statistics(df).collect()
     assert len(boxes) == len(groups)
     for r in boxes:
         values = np.array([v for v in groups[r.metric, r.completed] if v is not None])
@@ -125,9 +125,28 @@ def test_box_statistics_and_outliers(spark):
         assert listed == sorted(values[beyond])
 
 
-def test_box_plot_bound(spark):
-    with pytest.raises(ValueError):
-        boxplot.quartiles(as_long(spark, {("a", True): [1.0]}), [str(i) for i in range(boxplot.MAX_METRICS + 1)])
+def test_quartiles_of_every_small_group(spark):
+    """Distinct second-precision durations, all sizes: no rank may be missed."""
+    rng = random.Random(4)
+    groups = {(f"m{n}", True): [s / 86400 for s in rng.sample(range(-9, 10**6), n)] for n in range(1, 61)}
+    rows = boxplot.quartiles(as_long(spark, groups).repartition(6)).collect()
+    assert len(rows) == 60
+    for r in rows:
+        expected = np.quantile(groups[r.metric, True], [0.25, 0.5, 0.75])
+        assert [r.q1, r.median, r.q3] == pytest.approx(list(expected), rel=1e-12)
+
+
+def test_box_plot_takes_the_metrics_there_are(spark):
+    df = as_long(spark, {("a", True): [1.0, 2.0], ("Other", False): [3.0]})
+    assert {r.metric for r in boxplot.box_statistics(df).collect()} == {"a", "Other"}
+    assert {r.metric for r in boxplot.box_statistics(df, ["Other"]).collect()} == {"Other"}
+
+
+def test_bands_of_the_lift(spark):
+    levels = spark.createDataFrame([("Top", 0.6), ("Rest", 0.2)], "week1_engagement_level string, completion_rate double")
+    bands = (("Rest", 0), ("Top", 60))
+    assert tuple(report.week1_lift(levels, bands).first()) == (60.0, 20.0, 3.0)
+    assert report.week1_high_share(levels, bands).first()[0] == 50.0
 
 
 def brute_trend(xs, ys, span=0.75):

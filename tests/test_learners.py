@@ -20,7 +20,7 @@ def course(activity, enrolments):
     rows += [("x", "2.1", 1, 2, "run-2")]
     people = [(n, 9 if n in ("l20", "l15") else None) for n in ("l20", "l15", "l8", "l2", "l1", "l0", "later", "idle")]
     people += [("x", None, "run-2"), ("y", None, "run-3")]
-    return CourseTables(activity(rows), enrolments(people), ["run-1", "run-2", "run-3"])
+    return CourseTables(activity(rows), enrolments(people))
 
 
 def by_learner(df):

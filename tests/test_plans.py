@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 from conftest import SF_SMALL
 
 from coursepulse import CourseTables
@@ -40,7 +41,7 @@ def test_plans_scale(spark, no_auto_broadcast, name):
     assert "percentile(value" not in plan
     # Broadcasts: tables of one row per run, or the six groups of the box plot.
     for key in re.findall(r"BroadcastHashJoin \[(.*?)\], ", plan):
-        assert re.sub(r"#\d+L?", "", key) in ("course_run", "metric, completed")
+        assert re.sub(r"#\d+L?", "", key) in ("course_run", "metric, completed", "metric, completed, subrange")
 
 
 def test_learner_table_shuffles(tables, no_auto_broadcast):
@@ -100,13 +101,43 @@ def test_histogram_counts_once(spark, tables):
     assert "ReusedExchange" in plan_of(df)
 
 
-def test_unbounded_runs_are_not_broadcast(spark, tables, no_auto_broadcast):
-    per_run = tables.steps_per_run
-    people = tables.enrolments_all
-    assert "BroadcastHashJoin" in plan_of(joins.join_per_run(people, per_run, 5))
-    for n_runs in (None, joins.MAX_BROADCAST_RUNS + 1):
-        plan = plan_of(joins.join_per_run(people, per_run, n_runs))
-        assert "SortMergeJoin [course_run" in plan and "BroadcastHashJoin [course_run" not in plan
+def test_runs_are_joined_by_measured_size(spark, tables):
+    """A few runs are broadcast at run time, and a hot run is split where they are not."""
+    people = spark.range(40_000).select(
+        F.when(F.col("id") % 10 < 9, "hot").otherwise(F.concat(F.lit("run"), F.col("id") % 50)).alias("course_run"),
+        F.sha2(F.col("id").cast("string"), 512).alias("learner_id"),
+    )
+    per_run = people.groupBy("course_run").agg(F.count(F.lit(1)).alias("n"))
+    options = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128k",
+    }
+    before = {k: spark.conf.get(k, None) for k in options}
+    try:
+        for k, v in options.items():
+            spark.conf.set(k, v)
+        joined = joins.join_per_run(people.repartition(8), per_run)
+        joined.collect()
+        assert "skew=true" in plan_of(joined)
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1m")
+        joined = joins.join_per_run(people.repartition(8), per_run)
+        joined.collect()
+        assert "BroadcastHashJoin [course_run" in plan_of(joined)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_weeks_are_counted_without_a_shuffle_by_week(tables):
+    for df in (tables.learner_engagement, tables.learner_with_week1):
+        df.collect()
+        keys = [set(re.findall(r"(\w+)#", found)) for found in re.findall(r"hashpartitioning\((.*?), \d+\)", plan_of(df))]
+        assert {"learner_id", "course_run"} in keys
+        assert {"learner_id", "course_run", "week_number"} not in keys
 
 
 def test_invariants(tables):

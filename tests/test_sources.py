@@ -3,6 +3,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from coursepulse import CourseTables
@@ -179,6 +180,98 @@ def test_co_located_tables_need_no_shuffle_by_learner(spark, star_tables, tmp_pa
     assert ours == sorted(map(str, star_tables.learner_with_week1.select(columns).collect()))
 
 
+def test_store_honours_options(spark, tmp_path):
+    folder, star = str(tmp_path / "store"), lambda **o: CourseTables.from_star(spark, "/root/testdata/sf0.001", **o)
+    star().publish(folder)
+    bands = (("Top", 60), ("Rest", 0))
+    sums = lambda t: tuple(t.week1_metrics.selectExpr("count(*)", "sum(week1_steps_visited)").first())
+    assert sums(CourseTables.from_store(spark, folder)) == sums(star())
+    other = CourseTables.from_store(spark, folder, week=2, bands=bands)
+    expected = star(week=2, bands=bands)
+    assert sums(other) == sums(expected) != sums(star())
+    for name in ("learner_with_week1", "completion_by_week1_level", "week1_summary"):
+        ours, theirs = getattr(other, name), getattr(expected, name)
+        columns = sorted(ours.columns)
+        assert sorted(map(str, ours.select(columns).collect())) == sorted(map(str, theirs.select(columns).collect()))
+    star(week=2, bands=bands).publish(folder)
+    assert sums(CourseTables.from_store(spark, folder)) == sums(expected)
+
+
+def test_a_run_has_few_files(spark, tmp_path):
+    rows = spark.range(2000).repartition(40).selectExpr("concat('r', id % 3) AS course_run", "id")
+    store.publish(rows, str(tmp_path), "t", partitioned=True)
+    for run in ("r0", "r1", "r2"):
+        assert len(list((tmp_path / "t" / f"course_run={run}").glob("*.parquet"))) <= 2
+
+
+def test_publish_validates(spark, star_tables, tmp_path):
+    broken = star_tables.enrolments_all.withColumn("learner_id", F.nullif("learner_id", F.lit(1)))
+    with pytest.raises(ValueError, match="NULL keys"):
+        CourseTables(star_tables.step_activity_all, broken).publish(str(tmp_path / "a"))
+    moved = star_tables.step_activity_all.withColumn("week_number", (F.col("learner_id") % 3).cast("int"))
+    with pytest.raises(ValueError, match="several weeks"):
+        CourseTables(moved, star_tables.enrolments_all, step_fixes_week=True).validate()
+    CourseTables(moved, star_tables.enrolments_all).validate()
+
+
+def test_bucketed_tables_open_again(spark, star_tables, tmp_path):
+    first = CourseTables.from_star(spark, "/root/testdata/sf0.001")
+    expected = sorted(map(str, first.learner_engagement.collect()))
+    first.co_locate(str(tmp_path / "a"), 4, prefix="again_")
+    try:
+        with pytest.raises(ValueError, match="another place"):
+            first.co_locate(str(tmp_path / "b"), 4, prefix="again_")
+        for name in ("again_step_activity_clean", "again_enrolments_all"):
+            spark.sql(f"DROP TABLE {name}")
+        opened = CourseTables.from_buckets(spark, str(tmp_path / "a"), "again_")
+        assert sorted(map(str, opened.learner_engagement.collect())) == expected
+        plan = opened.learner_engagement._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning" not in plan
+    finally:
+        for name in ("again_step_activity_clean", "again_enrolments_all"):
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def test_runs_are_those_in_the_data(spark, tmp_path):
+    """A sixth and a missing order priority: every row stays, and no empty run appears."""
+    source, folder = "/root/testdata/sf0.001", str(tmp_path)
+    for name in ("nation", "customer", "lineitem"):
+        spark.read.parquet(f"{source}/{name}.parquet").write.parquet(f"{folder}/{name}.parquet")
+    orders = spark.read.parquet(f"{source}/orders.parquet")
+    other = F.when(F.col("o_orderkey") % 7 == 0, "6-OTHER").when(F.col("o_orderpriority") == "5-LOW", "1-URGENT")
+    orders.withColumn("o_orderpriority", F.coalesce(other, "o_orderpriority")).write.parquet(f"{folder}/orders.parquet")
+    tables = CourseTables.from_star(spark, folder)
+    assert tables.step_activity_all.count() == spark.read.parquet(f"{folder}/lineitem.parquet").count()
+    runs = {r[0] for r in tables.enrolments_all.select("course_run").distinct().collect()}
+    assert runs == {"1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "6-OTHER"}
+
+
+def test_queries_over_csv_match_sql(spark, tmp_path):
+    """The star tables written as per-run CSV files give every query the same result as SQL on the star tables."""
+    from check_oracle import _rows, sql_rows  # noqa: PLC0415
+    from coursepulse.plans.queries import QUERIES  # noqa: PLC0415
+
+    star, number = CourseTables.from_star(spark, "/root/testdata/sf0.001"), {}
+    for run in sorted(r[0] for r in star.enrolments_all.select("course_run").distinct().collect()):
+        number[run] = f"course-{len(number) + 1}"
+        for name, df in (("step-activity", star.step_activity_all), ("enrolments", star.enrolments_all)):
+            own = df.where(F.col("course_run") == run).drop("course_run", "step_completed")
+            stamps = [f.name for f in own.schema if f.dataType == T.TimestampNTZType()]
+            own = own.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss 'UTC'") for c in stamps})
+            own.toPandas().to_csv(tmp_path / f"{number[run]}_{name}.csv", index=False, na_rep="NA")
+    tables = CourseTables.from_csv(spark, str(tmp_path), "course", range(1, 6))
+    back = F.create_map(*(F.lit(x) for pair in number.items() for x in pair[::-1]))
+    for name in ("completion_overall", "engagement_by_completion", "week1_summary", "completion_by_week1_level",
+                 "learner_with_week1", "week1_metrics", "weekly_retention", "engagement_boxplot", "threshold_curve"):
+        df = QUERIES[name](tables)
+        if "course_run" in df.columns:
+            df = df.withColumn("course_run", back[F.col("course_run")])
+        if "learner_id" in df.columns:
+            df = df.withColumn("learner_id", F.col("learner_id").cast("long"))
+        columns, rows = sql_rows("/root/testdata/sf0.001", name)
+        assert _rows(df.columns, df.collect()) == _rows(columns, rows), name
+
+
 def test_run_names_stay_text(spark, tmp_path):
     df = spark.createDataFrame([("007", 1), ("2020-01-01", 2)], "course_run string, n int")
     back = store.publish(df, str(tmp_path), "t", partitioned=True)

@@ -1,0 +1,65 @@
+import hashlib
+import random
+
+import numpy as np
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+from coursepulse.llm import byte_pairs as bp
+
+PATH = public_tokenizers.path("byte_bpe_50k.json")
+BITS = [*"abcdeé ß\n\t  中　  \U0001f600'sre12٣.,#\x1c\x85\xa0áñ", "<|endoftext|>", "<|endof", "'ll", " the", "  "]
+
+
+@pytest.fixture(scope="module")
+def library():
+    return Tokenizer.from_file(PATH)
+
+
+def random_texts(n, most=60):
+    rnd = random.Random(1)
+    return ["".join(rnd.choices(BITS, k=rnd.randint(0, most))) for _ in range(n)]
+
+
+def test_ids_and_decoding_equal_the_library(library):
+    own = bp.BytePairs(PATH)
+    for text in random_texts(4000):
+        ids = library.encode(text, add_special_tokens=False).ids
+        packed = own.encode(text)
+        assert np.frombuffer(packed, "<u4").tolist() == ids, text
+        assert own.decode(packed) == library.decode(ids, skip_special_tokens=False) == text
+
+
+@pytest.mark.parametrize("text", ["a" * 5000, "ab" * 700 + " " * 500, "中" * 3000, "".join(random.Random(2).choices("abcdefgh", k=20000))])
+def test_long_words_take_the_same_merges(library, text):
+    assert np.frombuffer(bp.BytePairs(PATH).encode(text), "<u4").tolist() == library.encode(text).ids
+
+
+def test_short_array_and_heap_agree():
+    own = bp.BytePairs(PATH)
+    rnd = random.Random(3)
+    for _ in range(2000):
+        parts = [own.first[b] for b in "".join(rnd.choices("theaningro", k=rnd.randint(1, 60))).encode()]
+        assert own._short(list(parts)) == own._long(list(parts))
+
+
+def test_digests(documents, library):
+    texts = [None, "", *random_texts(200), "the same", "the same", "long " * 50_000]
+    docs = documents(list(enumerate(texts)), extra="ids")
+    rows = {r.doc_id: r for r in bp.digest(docs, PATH).collect()}
+    for i, text in enumerate(texts):
+        ids = np.array(library.encode(text or "", add_special_tokens=False).ids, "<u4")
+        assert rows[i].n_tokens == len(ids)
+        assert rows[i].ids_sha256 == hashlib.sha256(ids.tobytes()).hexdigest()
+        assert rows[i].decoded_sha256 == hashlib.sha256((text or "").encode()).hexdigest()
+    assert bp.digest(docs.where("doc_id < 0"), PATH).count() == 0
+    assert bp.encode(docs, PATH).columns == ["doc_id", "text", "lang", "source", "n_chars", "ids"]
+
+
+def test_a_full_word_table_starts_anew(monkeypatch, library):
+    monkeypatch.setattr(bp, "MAX_CACHED", 3)
+    own = bp.BytePairs(PATH)
+    for text in random_texts(100):
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == library.encode(text).ids
+    assert len(own) <= 3

@@ -1,0 +1,60 @@
+import random
+import re
+from collections import Counter
+
+import pytest
+
+from coursepulse.llm import quality_rules as q
+
+
+def plain(text):
+    text = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+
+    def covered(n):
+        seen = Counter(tuple(words[i : i + n]) for i in range(len(words) - n + 1))
+        return {j for i in range(len(words) - n + 1) if seen[tuple(words[i : i + n])] > 1 for j in range(i, i + n)}
+
+    chars = sum(map(len, words))
+    again = [x for i, x in enumerate(lines) if x in lines[:i]]
+    n_repeat = len(covered(5))
+    failed = len(words) < 10 or 100 * n_repeat > 20 * len(words)
+    shares = [sum(len(words[j]) for j in covered(n)) / chars if chars else 0.0 for n in q.NGRAM_LIMITS]
+    line_chars = sum(len(re.sub(r"[\x20\x09-\x0D]", "", x)) for x in again) / chars if chars else 0.0
+    kept = not failed and all(s <= m for s, m in zip(shares, q.NGRAM_LIMITS.values()))
+    kept = kept and (len(again) <= 0.3 * len(lines)) and line_chars <= 0.2
+    symbols = sum(c in "#*$%&|<>" for c in text)
+    return (len(words), chars, symbols, len(again), n_repeat, failed), shares, line_chars, kept
+
+
+def texts():
+    rnd = random.Random(2)
+    few, many = ["a", "bé", "中", "#x", "d|"], [f"w{i}" for i in range(400)]
+    out = [None, "", " \t\n\x0b\x0c\r", "  \x1c ", "one", "a b c d e a b c d e", "x\n" * 30, "\n\nx\n \nx \nx"]
+    for _ in range(300):
+        words = rnd.choices(rnd.choice([few, many]), k=rnd.randint(0, 80))
+        if len(words) > 12 and rnd.random() < 0.6:
+            i = rnd.randrange(len(words) - 8)
+            words += words[i : i + rnd.randint(4, 14)]
+        out.append("".join(w + rnd.choice([" ", " ", "\n", "  ", "\r\n"]) for w in words))
+    return [*out, "line of some words here\n" * 5 + " ".join(many), " ".join(map(str, range(200_000)))]
+
+
+def test_against_a_plain_count(documents):
+    own = texts()
+    rows = {r.doc_id: r for r in q.report(documents(list(enumerate(own)))).collect()}
+    for i, text in enumerate(own[:-1]):
+        counts, shares, line_chars, kept = plain(text)
+        r = rows[i]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == counts, text
+        assert [r[f"dup_{n}gram_chars"] for n in q.NGRAM_LIMITS] == pytest.approx(shares), text
+        assert r.dup_line_chars == pytest.approx(line_chars) and r.kept == kept, text
+    assert rows[len(own) - 1].n_words == 200_000 and rows[len(own) - 1].kept
+
+
+def test_other_columns_and_empty_table(documents):
+    docs = documents([(1, "x"), (1, "x")], extra="kept")
+    out = q.repetition(docs)
+    assert out.columns[:5] == docs.columns[:5] and out.columns.count("kept") == 1 and out.count() == 2
+    assert q.report(docs.where("doc_id > 1")).count() == 0

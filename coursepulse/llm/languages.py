@@ -31,6 +31,8 @@ ROUNDS, ROUNDS_NESTED, MOST_LANGUAGES = 8, 5, 3
 #: Letters that a task works on at once.
 TOGETHER = 1_000_000
 UNKNOWN = "und"
+#: Share of noise beyond which a text is rejected; short texts around a long key have less.
+MOST_NOISE = 0.75
 #: Log-likelihoods of one word differ by this much at most, so that one odd word can't decide.
 CLIP = 30.0
 
@@ -216,5 +218,5 @@ def accept(docs: DataFrame) -> DataFrame:
     names = docs.columns
     renamed = docs.select(*(F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(names)))
     text = f"_{[c.lower() for c in names].index('text')}"
-    judged = predict(renamed, model, text).where((F.col("lang_pred") != UNKNOWN) & (F.col("noise") <= 0.5))
+    judged = predict(renamed, model, text).where((F.col("lang_pred") != UNKNOWN) & (F.col("noise") <= MOST_NOISE))
     return judged.select(*(F.col(f"_{i}").alias(c) for i, c in enumerate(names)))

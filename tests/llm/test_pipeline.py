@@ -11,8 +11,8 @@ from tokenizers import Tokenizer
 import __spark_entry__
 import corpus_pipeline
 from coursepulse.llm import queries
-from test_languages import WORDS
-from test_near_duplicates import brute
+from llm.test_languages import WORDS
+from llm.test_near_duplicates import brute
 
 REPO = Path(__file__).resolve().parents[2]
 ITEM = "why does the slow grey heron wait beside the frozen lake until the first warm morning of the year"

@@ -18,9 +18,10 @@ from pyspark.sql import types as T
 #: What the operators take as white space; the same bytes as in bytes.split().
 SPACES = " \t\n\x0b\x0c\r"
 #: Entries a task keeps in a table of words before it starts a new one.
-MAX_CACHED = 300_000
+MAX_CACHED = 200_000
 #: Rows that a task works on at once.
 ROWS = 1_000
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,8 +67,13 @@ def ship(context: SparkContext) -> None:
 
 
 def map_arrow(df: DataFrame, run: Callable, schema: T.StructType | str) -> DataFrame:
-    """df.mapInArrow, where run may use this package."""
+    """df.mapInArrow, where run may use this package.
+
+    Texts are long, so the session's Arrow batches are lowered to ROWS rows if they are larger.
+    """
     ship(df.sparkSession.sparkContext)
+    if int(df.sparkSession.conf.get(BATCH)) not in range(1, ROWS + 1):
+        df.sparkSession.conf.set(BATCH, ROWS)
     return df.mapInArrow(run, schema)
 
 

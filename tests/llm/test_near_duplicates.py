@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from check_oracle import compare
 from coursepulse.llm import near_duplicates as nd
 from coursepulse.llm.components import components
 
@@ -102,3 +103,7 @@ def test_components_of_a_chain_and_a_star(spark):
     found = dict(components(spark.createDataFrame(links, "a long, b long")).collect())
     assert found == {**{i: 0 for i in range(61)}, **{i: 100 for i in range(100, 150)}}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_against_sql(spark):
+    assert compare(spark, "/root/testdata/sf0.001", "op10_near_duplicates") is None

@@ -296,7 +296,9 @@ def thresholds(scores: DataFrame) -> DataFrame:
 def judge(docs: DataFrame, labels: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """doc_id, lang, trusted, places, perplexity, threshold and kept of every document."""
     ids = trusted_ids(labels)
-    texts = docs.select("doc_id", "text").where(~_unseen()).join(ids, F.col("doc_id") == F.col("_id"), "left_semi")
+    # The labels grow with the corpus, so the join is the same at every size: both sides are shuffled.
+    seen = docs.select("doc_id", "text").where(~_unseen())
+    texts = seen.join(ids.hint("merge"), F.col("doc_id") == F.col("_id"), "left_semi")
     scores = scored(docs.select("doc_id", "lang", "text"), model(texts.select("text")), shard_rows)
     marked = scores.join(ids, F.col("doc_id") == F.col("_id"), "left")
     scores = stored(marked.withColumn("trusted", F.col("_id").isNotNull()).drop("_id"), "perplexities")

@@ -7,8 +7,11 @@ last two characters of the context, so that a shard answers alone for its places
 n-grams go to every shard. Documents are scored shard by shard, with one shard, at most
 SHARD_ROWS rows and their short n-grams, broadcast at a time, and the sums are added up.
 
-A text is kept if its perplexity is at most the threshold of its language: the QUANTILE of trusted
-texts that the model didn't see. A language with fewer than MIN_TRUSTED of them takes the threshold of all.
+A text is kept if its perplexity is at most the threshold of its language: the QUANTILE of its trusted texts, each
+scored by a model that didn't see it. For that, trusted texts are dealt to FOLDS folds by id, and there is a model
+without each of them; documents are scored by the one without fold 0. All models share one table and its joins, with
+columns of their own. However few trusted texts a language has, the threshold is its own; only a language
+without any takes the threshold of all.
 
 Defined cases: a null or empty text has no perplexity and isn't kept. Without trusted text nothing
 has a perplexity or is kept. A null language is a language of its own. Rows that are alike in id, text and
@@ -22,7 +25,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from coursepulse.llm.common import ROWS, map_arrow, stored
@@ -36,9 +39,11 @@ START, END, SPACE, DIGIT = 1, 2, 32, 48
 SHORT = 2
 SHARD_ROWS = 2_000_000
 #: Different n-grams that a task holds before it adds up equal ones.
-HELD = 4_000_000
-HELD_OUT = 5
-QUANTILE, MIN_TRUSTED = 0.995, 50
+HELD = 2_000_000
+FOLDS = 5
+QUANTILE = 0.995
+#: Sub-ranges of a doubling, in which perplexities are counted for the thresholds.
+RANGES = 1024
 
 
 def symbols(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -74,79 +79,124 @@ def _suffix(size: int) -> Column:
     return F.col("gram").bitwiseAND((1 << BITS * size) - 1)
 
 
-def counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(gram, n) of highest order over all texts."""
+def counts(docs: DataFrame, folds: int = 1) -> DataFrame:
+    """(gram, n0, n1, ...) of highest order over docs (text, fold): n<k> counts all texts but those of fold k.
+
+    With one fold there is one count, of all texts.
+    """
 
     def run(batches):
-        grams, n = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        grams, n = [np.empty(0, np.int64)], [np.empty((0, folds), np.int64)]
 
         def merge():
             together, own = np.unique(np.concatenate(grams), return_inverse=True)
-            grams[:], n[:] = [together], [np.bincount(own, np.concatenate(n), len(together)).astype(np.int64)]
+            every = np.concatenate(n)
+            total = [np.bincount(own, every[:, f], len(together)).astype(np.int64) for f in range(folds)]
+            grams[:], n[:] = [together], [np.stack(total, 1)]
 
         for batch in batches:
             for first in range(0, len(batch), ROWS):
-                texts = [t for t in batch.column(0).slice(first, ROWS).to_pylist() if t]
-                one, times = np.unique(ngrams(texts)[0], return_counts=True)
+                part = batch.slice(first, ROWS)
+                own = [(t, f) for t, f in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) if t]
+                every, places = ngrams([t for t, _ in own])
+                fold = np.repeat(np.array([f for _, f in own], np.int64), places)
+                one, at = np.unique(every, return_inverse=True)
                 grams.append(one)
-                n.append(times)
+                n.append(np.bincount(at * folds + fold, minlength=len(one) * folds).reshape(-1, folds))
                 if sum(map(len, grams)) > HELD:
                     merge()
         merge()
         for first in range(0, len(grams[0]), 100_000):
             part = slice(first, first + 100_000)
-            yield pa.RecordBatch.from_arrays([pa.array(grams[0][part]), pa.array(n[0][part])], ["gram", "n"])
-
-    return map_arrow(docs.select(text), run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-
-
-def _discounts(level: DataFrame) -> list[float]:
-    """Discounts of counts 1, 2 and above, from how many n-grams have counts 1 to 4."""
-    row = level.agg(*(F.count(F.when(F.col("n") == i, 1)).alias(f"n{i}") for i in range(1, 5))).first()
-    n1, n2, n3, n4 = (float(x) for x in row)
-    if not n1 or not n2:
-        return [0.5, 0.75, 0.9]
-    y = n1 / (n1 + 2 * n2)
-    found = [1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3 if n3 else 0.9]
-    return [d if 0 < d < i else 0.5 * i for i, d in zip((1, 2, 3), found)]
-
-
-def model(texts: DataFrame) -> DataFrame:
-    """(size, gram, logp, back): every n-gram's log-probability, and its weight as a context (null if it is none)."""
-    levels = {ORDER: stored(counts(texts), "ngrams")}
+            columns = [pa.array(grams[0][part]), *(pa.array(n[0][part, f]) for f in range(folds))]
+            yield pa.RecordBatch.from_arrays(columns, ["gram", *(f"c{f}" for f in range(folds))])
+
+    fields = "".join(f", c{f} long" for f in range(folds))
+    own = map_arrow(docs.select("text", "fold"), run, f"gram long{fields}").groupBy("gram")
+    own = own.agg(*(F.sum(f"c{f}").alias(f"c{f}") for f in range(folds)))
+    total = reduce(Column.__add__, (F.col(f"c{f}") for f in range(folds)))
+    return own.select("gram", *((total - F.col(f"c{f}") if folds > 1 else total).alias(f"n{f}") for f in range(folds)))
+
+
+def _discounts(level: DataFrame, folds: int) -> list[list[float]]:
+    """For each model, discounts of counts 1, 2 and above, from how many n-grams have counts 1 to 4."""
+    row = level.agg(
+        *(F.count(F.when(F.col(f"n{k}") == i, 1)).alias(f"m{k}_{i}") for k in range(folds) for i in range(1, 5))
+    ).first()
+    out = []
+    for k in range(folds):
+        n1, n2, n3, n4 = (float(x) for x in row[4 * k : 4 * k + 4])
+        if not n1 or not n2:
+            out.append([0.5, 0.75, 0.9])
+            continue
+        y = n1 / (n1 + 2 * n2)
+        found = [1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3 if n3 else 0.9]
+        out.append([d if 0 < d < i else 0.5 * i for i, d in zip((1, 2, 3), found)])
+    return out
+
+
+def models(texts: DataFrame, folds: int) -> DataFrame:
+    """(size, gram, logp0, back0, logp1, ...) of the models without each fold of texts (text, fold).
+
+    logp<k> is null for n-grams that model k doesn't have.
+    """
+    each = range(folds)
+    levels = {ORDER: stored(counts(texts, folds), "ngrams")}
     for size in range(ORDER - 1, 0, -1):
-        lower = levels[size + 1].groupBy(_suffix(size).alias("gram")).agg(F.count(F.lit(1)).alias("n"))
-        levels[size] = stored(lower, "ngrams")
-    kinds = max(levels[1].count(), 1)
+        kinds = [F.count(F.when(F.col(f"n{k}") > 0, 1)).alias(f"n{k}") for k in each]
+        levels[size] = stored(levels[size + 1].groupBy(_suffix(size).alias("gram")).agg(*kinds), "ngrams")
+    kinds = levels[1].agg(*(F.count(F.when(F.col(f"n{k}") > 0, 1)) for k in each)).first()
     lower, done = None, []
     for size in range(1, ORDER + 1):
         level = levels[size]
-        cut = _discounts(level)
-        less = F.when(F.col("n") == 1, cut[0]).when(F.col("n") == 2, cut[1]).otherwise(cut[2])
+        less = []
+        for k, cut in enumerate(_discounts(level, folds)):
+            n = F.col(f"n{k}")
+            less.append(F.when(n == 0, 0.0).when(n == 1, cut[0]).when(n == 2, cut[1]).otherwise(cut[2]))
         context = F.shiftright("gram", BITS)
         contexts = level.groupBy(context.alias("context")).agg(
-            F.sum("n").alias("total"), F.sum(less).alias("taken")
+            *(F.sum(f"n{k}").alias(f"total{k}") for k in each), *(F.sum(less[k]).alias(f"taken{k}") for k in each)
         )
         joined = level.withColumn("context", context).join(contexts, "context")
         if lower is None:
-            below = joined.withColumn("p_lower", F.lit(1.0 / kinds))
+            below = joined.select("*", *(F.lit(1.0 / max(kinds[k], 1)).alias(f"p_lower{k}") for k in each))
         else:
-            short = lower.select(F.col("gram").alias("suffix"), F.col("p").alias("p_lower"))
+            short = lower.select(F.col("gram").alias("suffix"), *(F.col(f"p{k}").alias(f"p_lower{k}") for k in each))
             below = joined.withColumn("suffix", _suffix(size - 1)).join(short, "suffix")
-        p = (F.col("n") - less + F.col("taken") * F.col("p_lower")) / F.col("total")
-        lower = stored(below.select("gram", p.alias("p")), "probabilities")
-        weights = contexts.select(
-            F.col("context").alias("gram"), F.log(F.col("taken") / F.col("total")).alias("back")
-        )
+        p = [
+            F.when(
+                F.col(f"n{k}") > 0,
+                (F.col(f"n{k}") - less[k] + F.col(f"taken{k}") * F.col(f"p_lower{k}")) / F.col(f"total{k}"),
+            )
+            for k in each
+        ]
+        lower = stored(below.select("gram", *(p[k].alias(f"p{k}") for k in each)), "probabilities")
+        backs = [F.when(F.col(f"total{k}") > 0, F.log(F.col(f"taken{k}") / F.col(f"total{k}"))) for k in each]
+        weights = contexts.select(F.col("context").alias("gram"), *(backs[k].alias(f"back{k}") for k in each))
         done.append((size, lower, weights))
     rows = []
     for (size, probs, _), (_, _, weights) in zip(done, [*done[1:], (0, None, None)]):
-        own = probs.select("gram", F.log("p").alias("logp"))
-        own = own.join(weights, "gram", "left") if weights is not None else own.withColumn("back", F.lit(None))
-        rows.append(own.select(F.lit(size).alias("size"), "gram", "logp", F.col("back").cast("double")))
+        own = probs.select("gram", *(F.log(f"p{k}").alias(f"logp{k}") for k in each))
+        if weights is None:
+            own = own.select("*", *(F.lit(None).cast("double").alias(f"back{k}") for k in each))
+        else:
+            own = own.join(weights, "gram", "left")
+        values = [c for k in each for c in (f"logp{k}", f"back{k}")]
+        rows.append(own.select(F.lit(size).alias("size"), "gram", *values))
     return stored(reduce(DataFrame.unionAll, rows), "model")
 
 
+def _without(table: DataFrame, fold: int) -> DataFrame:
+    """(size, gram, logp, back) of one of the models."""
+    own = table.where(F.col(f"logp{fold}").isNotNull())
+    return own.select("size", "gram", F.col(f"logp{fold}").alias("logp"), F.col(f"back{fold}").alias("back"))
+
+
+def model(texts: DataFrame) -> DataFrame:
+    """(size, gram, logp, back): every n-gram's log-probability, and its weight as a context (null if it is none)."""
+    return _without(models(texts.select("text", F.lit(0).alias("fold")), 1), 0)
+
+
 def _shard(context: Column | np.ndarray, shards: int):
     """Shard of the last two symbols of a context."""
     two = (1 << 2 * BITS) - 1
@@ -279,35 +329,51 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return own.where("quality = 1 and toxic = 0").select("_id")
 
 
-def _unseen() -> Column:
-    """Trusted documents kept from training, for the thresholds."""
-    return F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT)) == 0
+def _fold() -> Column:
+    """Fold of a trusted document; the model without it gives the document's part in the thresholds."""
+    return F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int")
+
 
+def thresholds(unseen: DataFrame) -> DataFrame:
+    """(lang, threshold): the exact QUANTILE of unseen (lang, perplexity) by language.
 
-def thresholds(scores: DataFrame) -> DataFrame:
-    """(lang, threshold) of each language with enough trusted documents that the model didn't see."""
-    unseen = scores.where(F.col("trusted") & _unseen() & F.col("perplexity").isNotNull())
-    quantile = F.percentile_approx("perplexity", QUANTILE, 20_000)
-    return unseen.groupBy("lang").agg(quantile.alias("threshold"), F.count(F.lit(1)).alias("n")).where(
-        F.col("n") >= MIN_TRUSTED
-    ).select("lang", "threshold")
+    Perplexities are counted by sub-range first, and only those of the sub-range that holds the rank are sorted.
+    """
+    known = unseen.where(F.col("perplexity").isNotNull()).select(
+        "lang", "perplexity", F.floor(F.log2("perplexity") * RANGES).alias("range")
+    )
+    ranges = known.groupBy("lang", "range").agg(F.count(F.lit(1)).alias("n"))
+    by_lang = Window.partitionBy("lang")
+    rank = F.ceil(F.sum("n").over(by_lang) * QUANTILE - 1e-9)
+    upto = F.sum("n").over(by_lang.orderBy("range").rowsBetween(Window.unboundedPreceding, 0))
+    chosen = ranges.select("*", rank.alias("rank"), upto.alias("upto")).where("upto >= rank and upto - n < rank")
+    chosen = chosen.select(
+        F.col("lang").alias("_lang"), F.col("range").alias("_range"), (F.col("rank") - F.col("upto") + F.col("n")).alias("nth")
+    )
+    inside = known.join(chosen, F.col("lang").eqNullSafe(F.col("_lang")) & (F.col("range") == F.col("_range")))
+    place = F.row_number().over(by_lang.orderBy("perplexity"))
+    return inside.withColumn("place", place).where("place = nth").select("lang", F.col("perplexity").alias("threshold"))
 
 
 def judge(docs: DataFrame, labels: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """doc_id, lang, trusted, places, perplexity, threshold and kept of every document."""
     ids = trusted_ids(labels)
+    own = docs.select("doc_id", "lang", "text")
     # The labels grow with the corpus, so the join is the same at every size: both sides are shuffled.
-    seen = docs.select("doc_id", "text").where(~_unseen())
-    texts = seen.join(ids.hint("merge"), F.col("doc_id") == F.col("_id"), "left_semi")
-    scores = scored(docs.select("doc_id", "lang", "text"), model(texts.select("text")), shard_rows)
+    trusted = own.join(ids.hint("merge"), F.col("doc_id") == F.col("_id"), "left_semi").withColumn("fold", _fold())
+    trusted = stored(trusted, "trusted")
+    table = models(trusted, FOLDS)
+    scores = scored(own, _without(table, 0), shard_rows)
     marked = scores.join(ids, F.col("doc_id") == F.col("_id"), "left")
     scores = stored(marked.withColumn("trusted", F.col("_id").isNotNull()).drop("_id"), "perplexities")
-    own = thresholds(scores).withColumnRenamed("lang", "_lang")
-    overall = scores.where(F.col("trusted") & _unseen()).agg(
-        F.percentile_approx("perplexity", QUANTILE, 20_000).alias("t")
-    ).first()["t"]
-    joined = scores.join(own, F.col("lang").eqNullSafe(F.col("_lang")), "left")
-    limit = F.coalesce("threshold", F.lit(overall).cast("double"))
+    unseen = [scores.where(F.col("trusted") & (_fold() == 0))]
+    for fold in range(1, FOLDS):
+        unseen.append(scored(trusted.where(F.col("fold") == fold), _without(table, fold), shard_rows))
+    unseen = stored(reduce(DataFrame.unionAll, (u.select("lang", "perplexity") for u in unseen)), "unseen")
+    limits = thresholds(unseen).withColumnRenamed("lang", "_lang")
+    overall = thresholds(unseen.withColumn("lang", F.lit("all"))).first()
+    joined = scores.join(limits, F.col("lang").eqNullSafe(F.col("_lang")), "left")
+    limit = F.coalesce("threshold", F.lit(overall and overall["threshold"]).cast("double"))
     return joined.select(
         "doc_id",
         "lang",

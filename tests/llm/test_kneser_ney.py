@@ -121,3 +121,30 @@ def test_empty_tables(spark, documents):
     none = k.judge(docs, labels.where("doc_id > 1")).collect()
     assert [(r.perplexity, r.kept) for r in none] == [(None, False)] * 2
     assert k.judge(docs.where("doc_id > 9"), labels).count() == 0
+
+
+def test_small_languages_have_thresholds_of_their_own(spark, documents):
+    """One trusted text is enough, and each is scored by a model without its fold."""
+    texts = {"en": corpus(11, 12), "de": corpus(12, 3, "vwxyz "), None: corpus(13, 1, "fgh ")}
+    rows = [(t, lang) for lang, own in texts.items() for t in own] + [("abc", "xx")]
+    docs = documents([(i, t, lang) for i, (t, lang) in enumerate(rows)])
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(16)], "doc_id long, quality int, toxic int")
+    found = {r.doc_id: r for r in k.judge(docs, labels).collect()}
+    fold = {r.doc_id: r.f for r in docs.select("doc_id", k._fold().alias("f")).collect()}
+    unseen = {}
+    for f in range(k.FOLDS):
+        table = k.model(docs.where(k._fold() != f).where("doc_id < 16"))
+        unseen |= {r.doc_id: r.perplexity for r in k.scored(docs, table).collect() if fold[r.doc_id] == f}
+    for lang in texts:
+        own = [i for i in range(16) if rows[i][1] == lang]
+        assert found[own[0]].threshold == pytest.approx(max(unseen[i] for i in own), rel=1e-9)
+    assert found[16].threshold == pytest.approx(max(unseen[i] for i in range(16)), rel=1e-9)
+
+
+def test_thresholds_are_exact(spark):
+    rnd = random.Random(4)
+    rows = [(lang, rnd.uniform(2, 3) if lang else 7.0) for lang in ("a", "b", None) for _ in range(rnd.randint(150, 900))]
+    found = dict(k.thresholds(spark.createDataFrame(rows, "lang string, perplexity double")).collect())
+    for lang in ("a", "b", None):
+        own = sorted(p for x, p in rows if x == lang)
+        assert found[lang] == own[-(-len(own) * 995 // 1000) - 1]

@@ -31,9 +31,10 @@ from pyspark.sql import functions as F
 from coursepulse.llm.common import ROWS, map_arrow, stored
 
 ORDER = 5
-#: Bits of a symbol: code points below 2,048 stand for themselves, others share the upper half.
-BITS = 12
-HALF = 1 << (BITS - 1)
+#: A symbol is a whole code point: its lower bits are packed in the column gram, its upper ones (often none) in high.
+BITS, HIGH_BITS = 12, 9
+#: Code points below this, which are all, stand for themselves.
+HALF = 1 << (BITS + HIGH_BITS)
 START, END, SPACE, DIGIT = 1, 2, 32, 48
 #: Orders that go to every shard, as their context is too short to tell the shard.
 SHORT = 2
@@ -54,68 +55,97 @@ def symbols(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     x = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
     x[(x >= 48) & (x <= 57)] = DIGIT
     x[(x >= 9) & (x <= 13)] = SPACE
-    high = x >= HALF
-    x[high] = HALF + (x[high] * 0x9E3779B1 >> 7) % HALF
     return x, np.array([len(t) + ORDER for t in own], np.int64)
 
 
-def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The n-gram of highest order at every place of the texts (end included), and places of each text."""
+def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The n-gram of highest order at every place of the texts (end included), lower and upper bits, and places of each text."""
     x, lengths = symbols(texts)
     if not len(x):
-        return np.empty(0, np.int64), lengths
-    packed = np.zeros(len(x) - ORDER + 1, np.int64)
+        return *2 * (np.empty(0, np.int64),), lengths
+    packed, high = np.zeros((2, len(x) - ORDER + 1), np.int64)
+    upper = x >> BITS
+    x &= (1 << BITS) - 1
     for i in range(ORDER):
         packed = packed << BITS | x[i : i + len(packed)]
+        high = high << HIGH_BITS | upper[i : i + len(high)]
     first = np.cumsum(lengths) - lengths
     inside = np.ones(len(x), bool)
     for i in range(1, ORDER):
         inside[(first - i)[first >= i]] = False
-    return packed[inside[: len(packed)]], lengths - ORDER + 1
+    inside = inside[: len(packed)]
+    return packed[inside], high[inside], lengths - ORDER + 1
 
 
-def _suffix(size: int) -> Column:
+def _distinct(grams: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different n-grams, and the place of each given one among them."""
+    wide = high != 0
+    one, at = np.unique(grams[~wide], return_inverse=True)
+    order = np.lexsort((grams[wide], high[wide]))
+    low, up = grams[wide][order], high[wide][order]
+    new = np.append(True, (low[1:] != low[:-1]) | (up[1:] != up[:-1]))[: len(low)]
+    place = np.empty(len(grams), np.int64)
+    place[~wide] = at
+    place[np.flatnonzero(wide)[order]] = len(one) + np.cumsum(new) - 1
+    return np.append(one, low[new]), np.append(np.zeros(len(one), np.int64), up[new]), place
+
+
+#: What tells n-grams apart, and the same of their contexts and suffixes.
+GRAM, CONTEXT, SUFFIX = ["gram", "high"], ["context", "context_high"], ["suffix", "suffix_high"]
+
+
+def _suffix(size: int) -> list[Column]:
     """The last symbols of an n-gram."""
-    return F.col("gram").bitwiseAND((1 << BITS * size) - 1)
+    return [F.col("gram").bitwiseAND((1 << BITS * size) - 1), F.col("high").bitwiseAND((1 << HIGH_BITS * size) - 1)]
+
+
+def _context() -> list[Column]:
+    """All symbols of an n-gram but the last."""
+    return [F.shiftright("gram", BITS), F.shiftright("high", HIGH_BITS)]
+
+
+def _named(columns: list, names: list[str]) -> list[Column]:
+    return [(F.col(c) if isinstance(c, str) else c).alias(n) for c, n in zip(columns, names)]
 
 
 def counts(docs: DataFrame, folds: int = 1) -> DataFrame:
-    """(gram, n0, n1, ...) of highest order over docs (text, fold): n<k> counts all texts but those of fold k.
+    """(gram, high, n0, n1, ...) of highest order over docs (text, fold): n<k> counts all texts but those of fold k.
 
     With one fold there is one count, of all texts.
     """
 
     def run(batches):
-        grams, n = [np.empty(0, np.int64)], [np.empty((0, folds), np.int64)]
+        grams, high, n = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty((0, folds), np.int64)]
 
         def merge():
-            together, own = np.unique(np.concatenate(grams), return_inverse=True)
+            together, upper, own = _distinct(np.concatenate(grams), np.concatenate(high))
             every = np.concatenate(n)
             total = [np.bincount(own, every[:, f], len(together)).astype(np.int64) for f in range(folds)]
-            grams[:], n[:] = [together], [np.stack(total, 1)]
+            grams[:], high[:], n[:] = [together], [upper], [np.stack(total, 1)]
 
         for batch in batches:
             for first in range(0, len(batch), ROWS):
                 part = batch.slice(first, ROWS)
                 own = [(t, f) for t, f in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) if t]
-                every, places = ngrams([t for t, _ in own])
+                every, upper, places = ngrams([t for t, _ in own])
                 fold = np.repeat(np.array([f for _, f in own], np.int64), places)
-                one, at = np.unique(every, return_inverse=True)
+                one, upper, at = _distinct(every, upper)
                 grams.append(one)
+                high.append(upper)
                 n.append(np.bincount(at * folds + fold, minlength=len(one) * folds).reshape(-1, folds))
                 if sum(map(len, grams)) > HELD:
                     merge()
         merge()
         for first in range(0, len(grams[0]), 100_000):
             part = slice(first, first + 100_000)
-            columns = [pa.array(grams[0][part]), *(pa.array(n[0][part, f]) for f in range(folds))]
-            yield pa.RecordBatch.from_arrays(columns, ["gram", *(f"c{f}" for f in range(folds))])
+            columns = [pa.array(grams[0][part]), pa.array(high[0][part]), *(pa.array(n[0][part, f]) for f in range(folds))]
+            yield pa.RecordBatch.from_arrays(columns, [*GRAM, *(f"c{f}" for f in range(folds))])
 
     fields = "".join(f", c{f} long" for f in range(folds))
-    own = map_arrow(docs.select("text", "fold"), run, f"gram long{fields}").groupBy("gram")
+    own = map_arrow(docs.select("text", "fold"), run, f"gram long, high long{fields}").groupBy(*GRAM)
     own = own.agg(*(F.sum(f"c{f}").alias(f"c{f}") for f in range(folds)))
     total = reduce(Column.__add__, (F.col(f"c{f}") for f in range(folds)))
-    return own.select("gram", *((total - F.col(f"c{f}") if folds > 1 else total).alias(f"n{f}") for f in range(folds)))
+    return own.select(*GRAM, *((total - F.col(f"c{f}") if folds > 1 else total).alias(f"n{f}") for f in range(folds)))
 
 
 def _discounts(level: DataFrame, folds: int) -> list[list[float]]:
@@ -136,15 +166,16 @@ def _discounts(level: DataFrame, folds: int) -> list[list[float]]:
 
 
 def models(texts: DataFrame, folds: int) -> DataFrame:
-    """(size, gram, logp0, back0, logp1, ...) of the models without each fold of texts (text, fold).
+    """(size, gram, high, logp0, back0, logp1, ...) of the models without each fold of texts (text, fold).
 
-    logp<k> is null for n-grams that model k doesn't have.
+    logp<k> is null for n-grams that model k doesn't have. Contexts of nothing but starts are no n-grams; they have
+    their size with a minus.
     """
     each = range(folds)
     levels = {ORDER: stored(counts(texts, folds), "ngrams")}
     for size in range(ORDER - 1, 0, -1):
         kinds = [F.count(F.when(F.col(f"n{k}") > 0, 1)).alias(f"n{k}") for k in each]
-        levels[size] = stored(levels[size + 1].groupBy(_suffix(size).alias("gram")).agg(*kinds), "ngrams")
+        levels[size] = stored(levels[size + 1].groupBy(*_named(_suffix(size), GRAM)).agg(*kinds), "ngrams")
     kinds = levels[1].agg(*(F.count(F.when(F.col(f"n{k}") > 0, 1)) for k in each)).first()
     lower, done = None, []
     for size in range(1, ORDER + 1):
@@ -153,16 +184,15 @@ def models(texts: DataFrame, folds: int) -> DataFrame:
         for k, cut in enumerate(_discounts(level, folds)):
             n = F.col(f"n{k}")
             less.append(F.when(n == 0, 0.0).when(n == 1, cut[0]).when(n == 2, cut[1]).otherwise(cut[2]))
-        context = F.shiftright("gram", BITS)
-        contexts = level.groupBy(context.alias("context")).agg(
+        contexts = level.groupBy(*_named(_context(), CONTEXT)).agg(
             *(F.sum(f"n{k}").alias(f"total{k}") for k in each), *(F.sum(less[k]).alias(f"taken{k}") for k in each)
         )
-        joined = level.withColumn("context", context).join(contexts, "context")
+        joined = level.select("*", *_named(_context(), CONTEXT)).join(contexts, CONTEXT)
         if lower is None:
             below = joined.select("*", *(F.lit(1.0 / max(kinds[k], 1)).alias(f"p_lower{k}") for k in each))
         else:
-            short = lower.select(F.col("gram").alias("suffix"), *(F.col(f"p{k}").alias(f"p_lower{k}") for k in each))
-            below = joined.withColumn("suffix", _suffix(size - 1)).join(short, "suffix")
+            short = lower.select(*_named(GRAM, SUFFIX), *(F.col(f"p{k}").alias(f"p_lower{k}") for k in each))
+            below = joined.select("*", *_named(_suffix(size - 1), SUFFIX)).join(short, SUFFIX)
         p = [
             F.when(
                 F.col(f"n{k}") > 0,
@@ -170,71 +200,84 @@ def models(texts: DataFrame, folds: int) -> DataFrame:
             )
             for k in each
         ]
-        lower = stored(below.select("gram", *(p[k].alias(f"p{k}") for k in each)), "probabilities")
+        lower = stored(below.select(*GRAM, *(p[k].alias(f"p{k}") for k in each)), "probabilities")
         backs = [F.when(F.col(f"total{k}") > 0, F.log(F.col(f"taken{k}") / F.col(f"total{k}"))) for k in each]
-        weights = contexts.select(F.col("context").alias("gram"), *(backs[k].alias(f"back{k}") for k in each))
+        weights = contexts.select(*_named(CONTEXT, GRAM), *(backs[k].alias(f"back{k}") for k in each))
         done.append((size, lower, weights))
     rows = []
     for (size, probs, _), (_, _, weights) in zip(done, [*done[1:], (0, None, None)]):
-        own = probs.select("gram", *(F.log(f"p{k}").alias(f"logp{k}") for k in each))
+        own = probs.select(*GRAM, *(F.log(f"p{k}").alias(f"logp{k}") for k in each))
         if weights is None:
             own = own.select("*", *(F.lit(None).cast("double").alias(f"back{k}") for k in each))
         else:
-            own = own.join(weights, "gram", "left")
+            own = own.join(weights, GRAM, "full")
         values = [c for k in each for c in (f"logp{k}", f"back{k}")]
-        rows.append(own.select(F.lit(size).alias("size"), "gram", *values))
+        known = F.coalesce(*(f"logp{k}" for k in each)).isNotNull()
+        rows.append(own.select(F.when(known, size).otherwise(-size).alias("size"), *GRAM, *values))
     return stored(reduce(DataFrame.unionAll, rows), "model")
 
 
 def _without(table: DataFrame, fold: int) -> DataFrame:
-    """(size, gram, logp, back) of one of the models."""
-    own = table.where(F.col(f"logp{fold}").isNotNull())
-    return own.select("size", "gram", F.col(f"logp{fold}").alias("logp"), F.col(f"back{fold}").alias("back"))
+    """(size, gram, high, logp, back) of one of the models."""
+    own = table.where(F.col(f"logp{fold}").isNotNull() | (F.col("size") < 0))
+    return own.select("size", *GRAM, F.col(f"logp{fold}").alias("logp"), F.col(f"back{fold}").alias("back"))
 
 
 def model(texts: DataFrame) -> DataFrame:
-    """(size, gram, logp, back): every n-gram's log-probability, and its weight as a context (null if it is none)."""
+    """(size, gram, high, logp, back): every n-gram's log-probability, and its weight as a context (null if it is none)."""
     return _without(models(texts.select("text", F.lit(0).alias("fold")), 1), 0)
 
 
-def _shard(context: Column | np.ndarray, shards: int):
+def _shard(context: Column | np.ndarray, high: Column | np.ndarray, shards: int):
     """Shard of the last two symbols of a context."""
-    two = (1 << 2 * BITS) - 1
+    two, upper = (1 << 2 * BITS) - 1, (1 << 2 * HIGH_BITS) - 1
     if isinstance(context, np.ndarray):
-        return ((context & two) * 40_503 >> 8) % shards
-    return F.shiftright(context.bitwiseAND(two) * 40_503, 8) % shards
+        return ((context & two) * 40_503 + (high & upper) * 2_654_435 >> 8) % shards
+    return F.shiftright(context.bitwiseAND(two) * 40_503 + high.bitwiseAND(upper) * 2_654_435, 8) % shards
 
 
 class Table:
-    """Values by key, looked up for whole arrays at once (open addressing)."""
+    """Values by key, looked up for whole arrays at once (open addressing); high holds the keys' upper bits, if any."""
 
-    def __init__(self, keys: np.ndarray, *values: np.ndarray):
+    def __init__(self, keys: np.ndarray, *values: np.ndarray, high: np.ndarray | None = None):
         self.mask = (1 << max(4, (4 * len(keys)).bit_length())) - 1
         self.keys = np.full(self.mask + 1, -1, np.int64)
         self.at = np.zeros(self.mask + 1, np.int32)
-        place, left = self._place(keys), np.arange(len(keys))
+        self.high = high if high is not None and high.any() else None
+        place, left = self._place(keys, high), np.arange(len(keys))
         while len(left):
-            free = self.keys[place[left]] < 0
-            self.keys[place[left[free]]] = keys[left[free]]
-            won = self.keys[place[left]] == keys[left]
-            self.at[place[left[won]]] = left[won]
-            left = left[~won]
+            free = left[self.keys[place[left]] < 0]
+            self.at[place[free]] = free
+            self.keys[place[free]] = keys[self.at[place[free]]]
+            left = left[self.at[place[left]] != left]
             place[left] = place[left] + 1 & self.mask
         self.values = values
 
-    def _place(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(24)).astype(np.int64) & self.mask
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
+    def _place(self, keys: np.ndarray, high: np.ndarray | None) -> np.ndarray:
+        mixed = keys.astype(np.uint64)
+        if high is not None and self.high is not None:
+            mixed = mixed + high.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        return ((mixed * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(24)).astype(np.int64) & self.mask
+
+    def _same(self, place: np.ndarray, there: np.ndarray, keys: np.ndarray, high: np.ndarray | None) -> np.ndarray:
+        same = there == keys
+        if self.high is not None:
+            same &= self.high[self.at[place]] == (0 if high is None else high)
+        elif high is not None:
+            same &= high == 0
+        return same
+
+    def find(self, keys: np.ndarray, high: np.ndarray | None = None) -> np.ndarray:
         """Positions of the keys' values, -1 where there is none."""
-        place = self._place(keys)
+        place = self._place(keys, high)
         there = self.keys[place]
-        out = np.where(there == keys, self.at[place], -1).astype(np.int64)
-        left = np.flatnonzero((there != keys) & (there >= 0))
+        same = self._same(place, there, keys, high)
+        out = np.where(same, self.at[place], -1).astype(np.int64)
+        left = np.flatnonzero(~same & (there >= 0))
         while len(left):
             place[left] = place[left] + 1 & self.mask
             there = self.keys[place[left]]
-            won = there == keys[left]
+            won = self._same(place[left], there, keys[left], None if high is None else high[left])
             out[left[won]] = self.at[place[left[won]]]
             left = left[~won & (there >= 0)]
         return out
@@ -249,24 +292,29 @@ class Shard:
         for size in range(1, ORDER + 1):
             own = rows["size"] == size
             back = np.nan_to_num(rows["back"][own], nan=0.0)
-            self.tables[size] = Table(rows["gram"][own], rows["logp"][own], back)
+            self.tables[size] = Table(rows["gram"][own], rows["logp"][own], back, high=rows["high"][own])
+        #: Back-off weights of contexts of nothing but starts.
+        self.starts = {-s: b for s, b in zip(rows["size"].tolist(), np.nan_to_num(rows["back"], nan=0.0)) if s < 0}
         #: What a symbol unknown to the model costs.
         self.unknown = -np.log(2.0 * max(len(self.tables[1].values[0]), 1))
 
-    def scores(self, grams: np.ndarray) -> np.ndarray:
+    def scores(self, grams: np.ndarray, high: np.ndarray | None = None) -> np.ndarray:
         """Log-probability of the last symbol of each n-gram; zero for n-grams of other shards."""
         out = np.zeros(len(grams))
+        high = np.zeros(len(grams), np.int64) if high is None else high
         left = np.arange(len(grams))
         if self.shards > 1:
-            left = left[_shard(grams >> BITS, self.shards) == self.number]
+            left = left[_shard(grams >> BITS, high >> HIGH_BITS, self.shards) == self.number]
         for size in range(ORDER, 0, -1):
-            keys = grams[left] & (1 << BITS * size) - 1
-            at = self.tables[size].find(keys)
+            keys, upper = grams[left] & (1 << BITS * size) - 1, high[left] & (1 << HIGH_BITS * size) - 1
+            at = self.tables[size].find(keys, upper)
             hit = at >= 0
             out[left[hit]] += self.tables[size].values[0][at[hit]]
-            left, keys = left[~hit], keys[~hit]
+            left, keys, upper = left[~hit], keys[~hit], upper[~hit]
             if size > 1:
-                at = self.tables[size - 1].find(keys >> BITS)
+                starts = (keys >> BITS == sum(START << BITS * i for i in range(size - 1))) & (upper >> HIGH_BITS == 0)
+                out[left[starts]] += self.starts.get(size - 1, 0.0)
+                at = self.tables[size - 1].find(keys >> BITS, upper >> HIGH_BITS)
                 hit = at >= 0
                 out[left[hit]] += self.tables[size - 1].values[1][at[hit]]
         out[left] += self.unknown
@@ -275,7 +323,7 @@ class Shard:
 
 def _rows_of(table: DataFrame) -> dict[str, np.ndarray]:
     found = table.toPandas()
-    kinds = {"size": np.int8, "gram": np.int64, "logp": np.float64, "back": np.float64}
+    kinds = {"size": np.int8, "gram": np.int64, "high": np.int64, "logp": np.float64, "back": np.float64}
     return {c: found[c].to_numpy(k) for c, k in kinds.items()}
 
 
@@ -287,8 +335,8 @@ def scored(docs: DataFrame, table: DataFrame, shard_rows: int = SHARD_ROWS) -> D
     passes = []
     for number in range(shards):
         # A long n-gram's row serves as one with its context's shard, and as a context with its own.
-        own = _shard(F.shiftright("gram", BITS), shards) == number
-        as_context = F.col("back").isNotNull() & (_shard(F.col("gram"), shards) == number)
+        own = _shard(*_context(), shards) == number
+        as_context = F.col("back").isNotNull() & (_shard(F.col("gram"), F.col("high"), shards) == number)
         rows = _rows_of(table.where((F.col("size") <= SHORT) | own | as_context))
         shared = spark.sparkContext.broadcast(rows)
         passes.append(_pass(keyed, shared, number, shards))
@@ -308,9 +356,9 @@ def _pass(keyed: DataFrame, shared, number: int, shards: int) -> DataFrame:
         for whole in batches:
             for first in range(0, len(whole), ROWS):
                 batch = whole.slice(first, ROWS)
-                grams, places = ngrams([t or "" for t in batch.column(3).to_pylist()])
+                grams, high, places = ngrams([t or "" for t in batch.column(3).to_pylist()])
                 starts = np.cumsum(places) - places
-                sums = np.add.reduceat(shard.scores(grams), starts) if len(grams) else np.zeros(0)
+                sums = np.add.reduceat(shard.scores(grams, high), starts) if len(grams) else np.zeros(0)
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(i) for i in range(3)), pa.array(places), pa.array(sums)],
                     ["doc_id", "lang", "text_hash", "places", "logp"],

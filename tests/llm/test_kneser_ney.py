@@ -148,3 +148,30 @@ def test_thresholds_are_exact(spark):
     for lang in ("a", "b", None):
         own = sorted(p for x, p in rows if x == lang)
         assert found[lang] == own[-(-len(own) * 995 // 1000) - 1]
+
+
+@pytest.mark.parametrize("shard_rows", [10**6, 300])
+def test_whole_code_points(spark, documents, shard_rows):
+    """Characters that were hashed together, as no alphabet of 2,048 symbols can hold them apart."""
+    han = "".join(chr(c) for c in range(0x4E00, 0x4E00 + 4000))
+    train = corpus(21, 60, han[:2500] + "ab \U0001f600’") + ["ab" + han[:2500]]
+    test = corpus(22, 20, han[:2500] + "ab ") + ["ab \U0001f600’"]
+    table = k.model(documents(list(enumerate(train))))
+    plain = Plain(train)
+    assert table.where("size = 1").count() == len(plain.n[1])
+    rows = k.scored(documents([*enumerate(test), (98, han[2500:2600])]), table, shard_rows).collect()
+    found = {r.doc_id: r.perplexity for r in rows}
+    for i, text in enumerate(test):
+        if all((s,) in plain.n[1] for s in plain_symbols(text)[k.ORDER - 1 :]):
+            assert found[i] == pytest.approx(plain.perplexity(text), rel=1e-6), text
+    # Unseen characters cost what unknown ones cost.
+    assert found[98] > len(plain.n[1])
+
+
+def test_lookup_table_with_upper_bits():
+    rnd = np.random.default_rng(2)
+    pairs = np.unique(rnd.integers(0, 60, (3000, 2)), axis=0)
+    table = k.Table(pairs[:, 0], high=pairs[:, 1])
+    asked = np.stack(np.meshgrid(np.arange(60), np.arange(60)), -1).reshape(-1, 2)
+    own = {tuple(p): i for i, p in enumerate(pairs.tolist())}
+    assert table.find(asked[:, 0], asked[:, 1]).tolist() == [own.get(tuple(p), -1) for p in asked.tolist()]

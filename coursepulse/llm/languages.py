@@ -2,8 +2,10 @@
 
 Training counts hashed letter trigrams of each language. A text is taken as words drawn from a
 mixture of languages and of noise (every trigram alike): a word's likelihood under a language is
-the product over its trigrams, and expectation-maximisation estimates the shares. Of the nested
-sets of the strongest languages the one with the best penalised likelihood is kept.
+the product over its trigrams, and expectation-maximisation estimates the shares. The set of the
+strongest languages grows, with and without noise beside it, up to all of them or until the penalised
+likelihood stops improving; the best set is kept, or noise alone if that is better. Then the
+predicted language is the strongest one of the whole mixture, with score 0.
 
 Defined cases: a text that is null or has no letter is `und` with score 0 and no languages.
 Training ignores rows without text or language, and those held out. Without any training row every
@@ -27,7 +29,7 @@ from coursepulse.llm.common import append_columns, map_arrow
 #: Trigrams are hashed into this many buckets; a model has so many numbers for each language.
 BUCKETS = 1 << 16
 SMOOTHING = 0.05
-ROUNDS, ROUNDS_NESTED, MOST_LANGUAGES = 8, 5, 3
+ROUNDS, ROUNDS_NESTED = 8, 5
 #: Letters that a task works on at once.
 TOGETHER = 1_000_000
 UNKNOWN = "und"
@@ -133,12 +135,17 @@ def _mix(likely: np.ndarray, text: np.ndarray, starts: np.ndarray, share: np.nda
 
 def mixture(texts: list[str], logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Shares (text, language and noise last), zero outside the chosen set, and whether there is a letter."""
+    return _mixture(texts, logs)[:2]
+
+
+def _mixture(texts: list[str], logs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As mixture, and each text's strongest language in the mixture of all."""
     known = len(logs)
     out = np.zeros((len(texts), known + 1), np.float32)
-    lettered = np.zeros(len(texts), bool)
+    lettered, strongest = np.zeros(len(texts), bool), np.zeros(len(texts), np.int64)
     buckets, word, text = trigrams(texts)
     if not len(buckets) or not known:
-        return out, lettered
+        return out, lettered, strongest
     first = np.flatnonzero(np.diff(word, prepend=-1))
     size = np.diff(np.append(first, len(buckets)))
     log = np.empty((len(first), known + 1), np.float32)
@@ -154,18 +161,38 @@ def mixture(texts: list[str], logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     words = np.diff(np.append(starts, len(dense)))
     n = len(present)
     full, _ = _mix(likely, dense, starts, np.full((n, known + 1), 1 / (known + 1), np.float32), ROUNDS)
-    order = np.argsort(-full, axis=1, kind="stable")
+    # Shares can fall to exactly zero beside noise; then the languages' likelihoods of the text decide.
+    likeliest = np.add.reduceat(log[:, :known], starts, dtype=np.float64).argmax(1)
+    strongest[present] = np.where(full[:, :known].max(1) > 0, full[:, :known].argmax(1), likeliest)
+    order = np.argsort(-full[:, :known], axis=1, kind="stable")
     best, cost = np.zeros_like(full), np.full(n, np.inf)
-    for k in range(1, min(MOST_LANGUAGES, known + 1) + 1):
-        chosen = np.zeros_like(full)
-        np.put_along_axis(chosen, order[:, :k], np.take_along_axis(full, order[:, :k], 1) + 1e-6, 1)
-        chosen /= chosen.sum(1, keepdims=True)
-        share, fit = _mix(likely, dense, starts, chosen, ROUNDS_NESTED if k > 1 else 0)
-        own = -fit + (k - 1) / 2 * np.log(words + 1)
-        better = own < cost - 1e-6
-        best[better], cost[better] = share[better], own[better]
+    growing, own_likely, own_text, own_starts = np.arange(n), likely, dense, starts
+    for k in range(1, known + 1):
+        improved = np.zeros(len(growing), bool)
+        for noise in (False, True):
+            chosen = np.zeros((len(growing), known + 1), np.float32)
+            top = order[growing, :k]
+            np.put_along_axis(chosen, top, np.take_along_axis(full[growing], top, 1) + 1e-6, 1)
+            if noise:
+                chosen[:, known] = full[growing, known] + 1e-6
+            chosen /= chosen.sum(1, keepdims=True)
+            members = k + noise
+            share, fit = _mix(own_likely, own_text, own_starts, chosen, ROUNDS_NESTED if members > 1 else 0)
+            own = -fit + (members - 1) / 2 * np.log(words[growing] + 1)
+            better = own < cost[growing] - 1e-6
+            best[growing[better]], cost[growing[better]] = share[better], own[better]
+            improved |= better
+        if not improved.any():
+            break
+        if not improved.all():
+            inside = improved[own_text]
+            own_likely, own_text = own_likely[inside], (np.cumsum(improved) - 1)[own_text[inside]]
+            growing = growing[improved]
+            own_starts = np.searchsorted(own_text, np.arange(len(growing)))
+    alone = -np.add.reduceat(np.log(likely[:, known]), starts) < cost - 1e-6
+    best[alone] = np.eye(known + 1, dtype=np.float32)[known]
     out[present] = best
-    return out, lettered
+    return out, lettered, strongest
 
 
 FIELDS = [
@@ -184,12 +211,12 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "t
         def compute(texts):
             pred, score, noise, shares = [], [], [], []
             for part in _parts(texts.to_pylist()):
-                share, lettered = mixture([t for _, t in part], logs)
-                for own, known in zip(share.astype(float), lettered):
+                share, lettered, strongest = _mixture([t for _, t in part], logs)
+                for own, known, first in zip(share.astype(float), lettered, strongest):
                     if not known:
                         pred.append(UNKNOWN), score.append(0.0), noise.append(0.0), shares.append([])
                         continue
-                    i = int(np.argmax(own[:-1]))
+                    i = int(np.argmax(own[:-1])) if own[:-1].any() else int(first)
                     pred.append(languages[i]), score.append(min(own[i], 1.0)), noise.append(min(own[-1], 1.0))
                     shares.append([(languages[j], own[j]) for j in np.flatnonzero(own[:-1])])
             return [

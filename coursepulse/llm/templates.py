@@ -4,13 +4,14 @@ Words are lower-cased and stripped of punctuation; numbers, names and units beco
 placeholders, and windows of WINDOW words are hashed in two forms, literal and as a template. A
 filter of bits of a fixed size, filled from the benchmark's hashes, thins out the documents'
 windows inside the scan; what is left is joined with the benchmark's windows on the hash, so the filter
-decides nothing. Windows of a document and an item that lie on one diagonal (the same shift of
-positions) are an alignment. It is a leak if a literal window matches, or if enough of the item's
+decides nothing. A capitalised word that begins a sentence is read both ways, as itself and as a
+name, so there are two readings of a template window. Windows of a document and an item that lie on one diagonal (the same shift of
+positions) under one reading each are an alignment. It is a leak if a literal window matches, or if enough of the item's
 template windows match and the values in the slots are consistent: each value of the item stands
-for one value of the document, and the other way round.
+for one value of the document. Two values of the item may have got the same new one.
 
 Defined cases: a null or empty text has no windows. An item of fewer than WINDOW words is one window; items of
-fewer than MIN_WORDS words aren't searched for. Items with equal text count as the one with the
+fewer than MIN_WORDS words leak only into documents with just the same words and no others. Items with equal text count as the one with the
 smallest id. Documents are told apart by id and text, so rows without id are judged each, and
 repeated rows alike.
 """
@@ -30,8 +31,6 @@ from pyspark.sql import functions as F
 from coursepulse.llm.common import MAX_CACHED, ROWS, map_arrow, mixed, stored, utf8
 
 WINDOW, MIN_WORDS = 13, 5
-#: A template window needs this share of words that aren't placeholders.
-LITERAL_SHARE = 0.5
 #: A leak without a literal window needs this share of the item's windows on one diagonal.
 ITEM_SHARE = 0.5
 #: Bits of the filter per window of the benchmark, and most bits in all (16 MB).
@@ -60,6 +59,9 @@ EDGES = string.punctuation.replace("+", "").replace("-", "") + "-+“”‘’«
 
 #: Kinds of words.
 LITERAL, NUMBER_SLOT, NAME_SLOT, UNIT_SLOT, MEASURE_SLOT = range(5)
+#: Readings of a window: its words, or a template where capitalised words are names inside of sentences or everywhere.
+EXACT, INSIDE, EVERYWHERE = range(3)
+LINE_BREAK = re.compile(rb"[\r\n]+")
 #: Flags beside the kind in the low bits of a word's code.
 KIND, CAPITAL, CLOSES, EMPTY, FLAGS = 7, 8, 16, 32, 63
 
@@ -115,68 +117,80 @@ class Windows:
     """The windows of some texts: for each its text, first word, literal and template hash."""
 
     def __init__(self, raws: list[bytes | None], codes: WordCodes):
-        self.words, counts = [], []
+        self.words, counts, breaks = [], [], []
         for raw in raws:
-            own = raw.split() if raw else []
-            self.words += own
-            counts.append(len(own))
+            before = len(self.words)
+            for line in LINE_BREAK.split(raw or b""):
+                breaks.append(len(self.words))
+                self.words += line.split()
+            counts.append(len(self.words) - before)
         code = np.fromiter(map(codes.__getitem__, self.words), np.uint64, len(self.words))
         text = np.repeat(np.arange(len(raws)), counts)
         flags = (code & np.uint64(FLAGS)).astype(np.int64)
         closes = np.ones(len(code), bool)
         closes[1:] = (flags[:-1] & CLOSES > 0) | (text[1:] != text[:-1])
-        kind = flags & KIND
-        kind[(kind == LITERAL) & (flags & CAPITAL > 0) & ~closes] = NAME_SLOT
+        closes[[i for i in breaks if i < len(code)]] = True
         self.at = np.flatnonzero(flags & EMPTY == 0)
-        self.text, self.kind = text[self.at], kind[self.at]
+        self.text = text[self.at]
         self.literal = code[self.at] & ~np.uint64(FLAGS)
-        self.template = np.where(self.kind == LITERAL, self.literal, self.kind.astype(np.uint64))
-        self.slots_before = np.append(0, np.cumsum(self.kind != LITERAL))
+        self.kind, self.template, self.slots_before = {}, {}, {}
+        named = (flags & KIND == LITERAL) & (flags & CAPITAL > 0)
+        for reading, names in ((INSIDE, named & ~closes), (EVERYWHERE, named)):
+            kind = np.where(names, NAME_SLOT, flags & KIND)[self.at]
+            self.kind[reading] = kind
+            self.template[reading] = np.where(kind == LITERAL, self.literal, kind.astype(np.uint64))
+            self.slots_before[reading] = np.append(0, np.cumsum(kind != LITERAL))
         #: First word of each text and the number of its words.
         self.size = np.bincount(self.text, minlength=len(raws))
         self.first = np.cumsum(self.size) - self.size
 
     def of(self, size: int):
-        """First words of all windows of a size, their literal hashes, template hashes and which have a template.
+        """First words of all windows of a size, and for each reading their hashes and which windows have that form.
 
         A window without placeholders has only its literal form.
         """
         if len(self.at) < size:
-            return np.empty(0, np.int64), *2 * (np.empty(0, np.uint64),), np.empty(0, bool)
+            none = np.empty(0, np.uint64), np.empty(0, bool)
+            return np.empty(0, np.int64), dict.fromkeys((EXACT, INSIDE, EVERYWHERE), none)
         n = len(self.at) - size + 1
         inside = np.flatnonzero(self.text[:n] == self.text[size - 1 :])
-        slots = (self.slots_before[size:] - self.slots_before[:n])[inside]
-        literal, template = _rolled(self.literal, size)[inside], _rolled(self.template, size)[inside]
-        filled = (slots > 0) & (size - slots >= LITERAL_SHARE * size)
-        return inside, literal, mixed(template + np.uint64(1)), filled
-
-    def slots(self, start: int, size: int) -> list[tuple[int, int, str]]:
+        forms = {EXACT: (_rolled(self.literal, size)[inside], np.ones(len(inside), bool))}
+        for reading in (INSIDE, EVERYWHERE):
+            before = self.slots_before[reading]
+            slots = (before[size:] - before[:n])[inside]
+            template = _rolled(self.template[reading], size)[inside]
+            forms[reading] = mixed(template + np.uint64(1)), (slots > 0) & (size >= MIN_WORDS)
+        return inside, forms
+
+    def slots(self, start: int, size: int, reading: int) -> list[tuple[int, int, str]]:
         """Placeholders of a window: offset, kind and value."""
+        kind = self.kind[reading]
         return [
-            (i, int(self.kind[start + i]), plain(self.words[self.at[start + i]].decode("utf-8", "replace")))
+            (i, int(kind[start + i]), plain(self.words[self.at[start + i]].decode("utf-8", "replace")))
             for i in range(size)
-            if self.kind[start + i] != LITERAL
+            if kind[start + i] != LITERAL
         ]
 
 
 SLOTS = "slots array<struct<offset:int,kind:int,value:string>>"
-KEYED = f"hash long, exact boolean, size int, place int, {SLOTS}"
+KEYED = f"hash long, exact boolean, reading int, size int, place int, {SLOTS}"
 
 
 def _emit(rows: list[tuple], lead: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
     slot = pa.struct([("offset", pa.int32()), ("kind", pa.int32()), ("value", pa.string())])
     fields = [
-        *lead, ("hash", pa.int64()), ("exact", pa.bool_()), ("size", pa.int32()), ("place", pa.int32()),
+        *lead, ("hash", pa.int64()), ("exact", pa.bool_()), ("reading", pa.int32()), ("size", pa.int32()), ("place", pa.int32()),
         ("slots", pa.list_(slot)),
     ]
     columns = list(zip(*rows)) or [()] * len(fields)
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(columns, fields)], [n for n, _ in fields])
 
 
-def _rows(found: Windows, lead: list[tuple], start: int, size: int, hashed: int, exact: bool) -> tuple:
+def _rows(found: Windows, lead: list[tuple], start: int, size: int, hashed: int, reading: int) -> tuple:
     text = found.text[start]
-    slots = [] if exact else [{"offset": o, "kind": k, "value": v} for o, k, v in found.slots(start, size)]
-    return (*lead[text], int(np.int64(np.uint64(hashed))), exact, size, int(start - found.first[text]), slots)
+    exact = reading == EXACT
+    slots = [] if exact else [{"offset": o, "kind": k, "value": v} for o, k, v in found.slots(start, size, reading)]
+    return (*lead[text], int(np.int64(np.uint64(hashed))), exact, reading, size, int(start - found.first[text]), slots)
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
@@ -190,13 +204,12 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
             found, rows = Windows(raws, codes), []
             sizes = np.minimum(found.size, WINDOW)
             lead = [(i, int(n - s + 1)) for i, n, s in zip(ids, found.size, sizes)]
-            for size in range(MIN_WORDS, WINDOW + 1):
-                for start, literal, template, filled in zip(*found.of(size)):
-                    if sizes[found.text[start]] != size:
-                        continue
-                    rows.append(_rows(found, lead, start, size, literal, True))
-                    if filled:
-                        rows.append(_rows(found, lead, start, size, template, False))
+            for size in range(1, WINDOW + 1):
+                at, forms = found.of(size)
+                own = sizes[found.text[at]] == size
+                for reading, (hashes, there) in forms.items():
+                    for i in np.flatnonzero(own & there):
+                        rows.append(_rows(found, lead, at[i], size, hashes[i], reading))
             yield _emit(rows, [("item_id", pa.int64()), ("n_windows", pa.int32())])
 
     return map_arrow(items.select("text", F.col("item_id").cast("long")), run, f"item_id long, n_windows int, {KEYED}")
@@ -228,11 +241,11 @@ def document_windows(docs: DataFrame, shared: Broadcast, n_bits: int, sizes: lis
                 lead = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
                 found, rows = Windows(utf8(batch.column(2)), codes), []
                 for size in sizes:
-                    at, literal, template, filled = found.of(size)
-                    for i in np.flatnonzero(passes(bits, literal)):
-                        rows.append(_rows(found, lead, at[i], size, literal[i], True))
-                    for i in np.flatnonzero(filled & passes(bits, template)):
-                        rows.append(_rows(found, lead, at[i], size, template[i], False))
+                    at, forms = found.of(size)
+                    own = (size >= MIN_WORDS) | (found.size[found.text[at]] == size)
+                    for reading, (hashes, there) in forms.items():
+                        for i in np.flatnonzero(own & there & passes(bits, hashes)):
+                            rows.append(_rows(found, lead, at[i], size, hashes[i], reading))
                 yield _emit(rows, [("doc_id", pa.int64()), ("text_hash", pa.int64())])
 
     keyed = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
@@ -254,11 +267,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     right = items.select(
         "item_id", "n_windows", "hash", "exact", "size", F.col("place").alias("item_place"),
-        F.col("slots").alias("item_slots"),
+        F.col("slots").alias("item_slots"), F.col("reading").alias("item_reading"),
     )
     matched = found.join(right, ["hash", "exact", "size"]).withColumn("shift", F.col("place") - F.col("item_place"))
     matched = stored(matched, "matched")
-    aligned = ["doc_id", "text_hash", "item_id", "n_windows", "shift"]
+    aligned = ["doc_id", "text_hash", "item_id", "n_windows", "shift", "reading", "item_reading"]
     counted = matched.groupBy(*aligned).agg(
         F.count_distinct(F.when(F.col("exact"), F.col("item_place"))).alias("exact_windows"),
         F.count_distinct(F.when(~F.col("exact"), F.col("item_place"))).alias("template_windows"),
@@ -271,8 +284,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.col("s.item_slots.value").alias("theirs"), F.col("s.item_slots.kind").alias("their_kind"),
     ).distinct()
     forth = values.groupBy(*aligned, "their_kind", "theirs").agg(F.count_distinct("kind", "own").alias("n"))
-    back = values.groupBy(*aligned, "kind", "own").agg(F.count_distinct("their_kind", "theirs").alias("n"))
-    broken = forth.unionByName(back, allowMissingColumns=True).where("n > 1").select(*aligned).distinct()
+    broken = forth.where("n > 1").select(*aligned).distinct()
     broken = broken.select(*(F.col(c).alias(f"_{c}") for c in aligned), F.lit(True).alias("broken"))
     same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in aligned]
     judged = counted.join(broken, same, "left")

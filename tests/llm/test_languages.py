@@ -79,3 +79,26 @@ def test_without_training_rows(documents):
     docs = documents([(0, "words", None), (3, None, "en")])
     assert [(r.lang_pred, r.score) for r in lg.report(docs).collect()] == [("und", 0.0)] * 2
     assert lg.report(docs.where("doc_id > 5")).count() == 0
+
+
+def test_texts_in_more_than_three_languages(documents):
+    rnd = random.Random(8)
+    more = WORDS | {
+        "fi": "ja talo joki kivi valo joka siellä alla kaunis vihreä".split(),
+        "pl": "i dom rzeka kamień światło który tam pod piękny zielony".split(),
+    }
+    rows = [(i, " ".join(rnd.choices(more[x], k=40)), x) for i, x in enumerate(rnd.choices(list(more), k=300))]
+    names, logs = lg.train(documents(rows))
+    junk = " ".join("".join(rnd.choices("qxzwvkj", k=9)) for _ in range(60))
+    whole = " ".join(" ".join(rnd.choices(more[x], k=60)) for x in names)
+    share, _ = lg.mixture([whole, whole + " " + junk], logs)
+    assert share[0][:-1] == pytest.approx([0.2] * 5, abs=0.05)
+    assert share[1] == pytest.approx([1 / 6] * 6, abs=0.05)
+
+
+def test_a_text_of_noise_alone_has_its_likeliest_language(documents, rows):
+    model = lg.train(documents(rows))
+    junk = " ".join("qxzwvkj" * 2 for _ in range(60))
+    found = lg.predict(documents([(0, junk + " señor"), (1, junk)]), model).orderBy("doc_id").collect()
+    assert all(r.noise > 0.9 and r.score < 0.1 for r in found)
+    assert found[0].lang_pred == "es"

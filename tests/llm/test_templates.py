@@ -88,3 +88,34 @@ def test_kinds_of_words():
         "kg": t.UNIT_SLOT, "alice": t.NAME_SLOT, "river": t.LITERAL, "x12": t.LITERAL, "": t.LITERAL,
     }
     assert {w: t.kind_of(w) for w in kinds} == kinds
+
+
+def leaking(spark, documents, item, texts):
+    benchmark = spark.createDataFrame([(1, item)], "item_id int, text string")
+    return sorted(r.doc_id for r in t.leaks(documents(list(enumerate(texts))), benchmark).collect())
+
+
+def test_two_values_may_get_the_same_new_one(spark, documents):
+    item = "she puts 3 apples and then 4 pears into the green basket by the door"
+    texts = [item.replace("3", "5").replace("4", "5"), item.replace("3", "8").replace("4", "9")]
+    assert leaking(spark, documents, item, texts) == [0, 1]
+
+
+def test_items_of_mostly_placeholders_and_short_ones(spark, documents):
+    assert leaking(spark, documents, "what is 12 + 35 * 7", ["so what is 15 + 31 * 2 then", "what was 15 + 31 * 2"]) == [0]
+    dense = "add 12 kg 7 cm 3 miles 40 dollars 9 hours 5 days and 6 litres to 11 grams 8 volts 2 tons"
+    changed = "add 13 kg 8 cm 4 miles 41 dollars 10 hours 6 days and 7 litres to 12 grams 9 volts 3 tons"
+    assert leaking(spark, documents, dense, ["some words " + changed]) == [0]
+    assert leaking(spark, documents, "What is love?", ["what is love", "what is love now", "so what is love"]) == [0]
+
+
+def test_names_and_words_at_the_start_of_sentences(spark, documents):
+    item = "Weng earns 12 coins for each of the red boxes that are sold at market"
+    changed = item.replace("Weng", "Kofi").replace("12", "15")
+    texts = ["some plain words " + changed, "some words. " + changed, "A heading\n" + changed, "A heading " + changed]
+    assert leaking(spark, documents, item, texts) == [0, 1, 2, 3]
+    middle = (
+        "the shop opens early in the morning each week. Weng earns 12 coins there and spends some of them on bread "
+        "and fresh milk"
+    )
+    assert leaking(spark, documents, middle, ["well " + middle.replace("Weng", "Kofi").replace("12", "15")]) == [0]

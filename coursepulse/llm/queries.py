@@ -11,6 +11,8 @@ from coursepulse.llm import (
     byte_pairs,
     kneser_ney,
     languages,
+    line_dedup,
+    manifest,
     near_duplicates,
     personal_data,
     quality_rules,
@@ -75,6 +77,16 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document, those dropped as shared, and the hash of what is left."""
+    return line_dedup.digest(table(spark, sf_dir, "documents"))
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and proof of every document, and whether it verifies after some are tampered with."""
+    return manifest.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_slots": op1_slots,
     "op2_personal_data": op2_personal_data,
@@ -86,6 +98,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_pairs": op8_byte_pairs,
     "op9_templates": op9_templates,
     "op10_near_duplicates": op10_near_duplicates,
+    "op12_line_dedup": op12_line_dedup,
+    "op13_manifest": op13_manifest,
 }
 
 #: Components by comparing all documents that share a shingle; doc_id is unique in the tables.
@@ -122,4 +136,8 @@ FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN least_one m
 """
 
 #: The other results rest on trained models, tokenizers or packing, and are tested without SQL.
-ORACLE: dict[str, str] = {"op10_near_duplicates": NEAR_DUPLICATES_SQL}
+ORACLE: dict[str, str] = {
+    "op10_near_duplicates": NEAR_DUPLICATES_SQL,
+    "op12_line_dedup": line_dedup.SQL,
+    "op13_manifest": manifest.sql(),
+}

@@ -20,6 +20,7 @@ from coursepulse.llm import (
     shards,
     templates,
     token_counts,
+    turn_repair,
 )
 from coursepulse.llm.common import table
 
@@ -77,6 +78,11 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of every conversation after damage, the cheapest edits, and the hash of the repaired rows."""
+    return turn_repair.audit(table(spark, sf_dir, "conversations"))
+
+
 def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of every document, those dropped as shared, and the hash of what is left."""
     return line_dedup.digest(table(spark, sf_dir, "documents"))
@@ -98,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_pairs": op8_byte_pairs,
     "op9_templates": op9_templates,
     "op10_near_duplicates": op10_near_duplicates,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_line_dedup": op12_line_dedup,
     "op13_manifest": op13_manifest,
 }
@@ -138,6 +145,7 @@ FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN least_one m
 #: The other results rest on trained models, tokenizers or packing, and are tested without SQL.
 ORACLE: dict[str, str] = {
     "op10_near_duplicates": NEAR_DUPLICATES_SQL,
+    "op11_conversation_repair": turn_repair.sql(),
     "op12_line_dedup": line_dedup.SQL,
     "op13_manifest": manifest.sql(),
 }

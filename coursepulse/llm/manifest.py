@@ -76,6 +76,8 @@ def _step(digests: Column, at: Column) -> Column:
 def ranked(items: DataFrame, order: Sequence[str]) -> DataFrame:
     """items (tree, ...) with idx, the place in the tree from 0, and m, the tree's number of rows."""
     keys = ["tree", *order]
+    # Finding the ranges reads the rows once more: the stored ones, not what they were made from.
+    items = stored(items, "items")
     placed = items.repartitionByRange(*keys).sortWithinPartitions(*keys)
     placed = stored(placed.withColumn("at", F.monotonically_increasing_id()), "placed")
     # The number of the range is in the upper bits of the id.

@@ -62,6 +62,12 @@ def steps_trend(t: CourseTables) -> DataFrame:
     return trend.local_trend(points, "week1_steps_completed", "completion_rate")
 
 
+def drawn_trend(t: CourseTables) -> DataFrame:
+    points = early.completion_by_week1_steps(t.learner_week1_active)
+    curve = trend.drawn_trend(points, "week1_steps_completed", "completion_rate")
+    return rounded(curve.withColumnRenamed("x", "week1_steps_completed"), "week1_steps_completed", "trend")
+
+
 QUERIES: dict[str, Query] = {
     # Inputs and cleaning
     "step_activity_all": lambda t: t.step_activity_all,
@@ -119,6 +125,7 @@ QUERIES: dict[str, Query] = {
     ),
     "threshold_curve": lambda t: distributions.threshold_curve(t.learner_week1_active),
     "week1_steps_trend": lambda t: rounded(steps_trend(t), "trend"),
+    "week1_steps_trend_drawn": drawn_trend,
     # Report
     "enrollment_summary": lambda t: report.enrollment_summary(t.completion_overall, t.learner_summary_active),
     "engagement_table": lambda t: report.engagement_table(t.engagement_by_completion),

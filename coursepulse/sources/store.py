@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import tempfile
 from collections.abc import Iterable
 
 from pyspark.errors import AnalysisException
@@ -30,6 +31,22 @@ def publish(df: DataFrame, folder: str, name: str, partitioned: bool = False) ->
     return load(df.sparkSession, folder, name)
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df computed once and kept in the folder that spark.checkpoint.dir names, so that a lost executor costs a re-read.
+
+    Where the session names none, a local session gets a temporary folder; a cluster is refused.
+    """
+    context, spark = df.sparkSession.sparkContext, df.sparkSession
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if context.master.partition("[")[0] != "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="coursepulse-")
+        context.setCheckpointDir(folder)
+    return df.checkpoint()
+
+
 def save_options(spark: SparkSession, folder: str, options: dict) -> None:
     """Write the options that published tables were derived with."""
     spark.createDataFrame([(json.dumps(options),)], "options string").coalesce(1).write.mode("overwrite").parquet(

@@ -282,6 +282,53 @@ _TREND = """
                                   ) nth ON nth.x = p.week1_steps_completed) a, step_points b))
                 GROUP BY ALL))"""
 
+#: Fits at the ends of the cells, by all points against all ends, and cubics between them at 80 positions.
+_DRAWN = """
+    SELECT round(x, 6) AS week1_steps_completed, round(trend, 6) AS trend FROM (
+        WITH RECURSIVE pts AS (
+            SELECT week1_steps_completed::DOUBLE AS x, completion_rate AS y,
+                   row_number() OVER (ORDER BY week1_steps_completed) - 1 AS r
+            FROM step_points
+        ), extent AS (
+            SELECT count(*) AS n, greatest(floor(count(*) * 0.75::DOUBLE * 0.2::DOUBLE), 1) AS most,
+                   floor(count(*) * 0.75::DOUBLE)::BIGINT AS q, min(x) AS low, max(x) AS high,
+                   0.005::DOUBLE * greatest(max(x) - min(x), greatest(abs(min(x)), abs(max(x))) * 1e-3 + 1e-30) AS margin
+            FROM pts
+        ), cells AS (
+            SELECT 0::BIGINT AS a, n - 1 AS b FROM extent WHERE n > 0
+            UNION ALL
+            SELECT if(part = 0, a, (a + b) // 2 + 1), if(part = 0, (a + b) // 2, b)
+            FROM cells, extent, (VALUES (0), (1)) parts(part) WHERE b - a + 1 > most
+        ), ends AS (
+            SELECT low - margin AS c FROM extent WHERE n > 0 UNION ALL SELECT high + margin FROM extent WHERE n > 0
+            UNION ALL
+            SELECT (p.x + o.x) / 2
+            FROM cells JOIN pts p ON p.r = b JOIN pts o ON o.r = b + 1, extent WHERE b - a + 1 <= most
+        ), reached AS (
+            SELECT c, list_sort(list(abs(x - c)))[any_value(q)] AS reach FROM ends, pts, extent GROUP BY c
+        ), sums AS (
+            SELECT c, reach, count(*) FILTER (WHERE w > 0) AS used, sum(w) AS s0, sum(w * u) AS s1,
+                   sum(w * u ** 2) AS s2, sum(w * u ** 3) AS s3, sum(w * u ** 4) AS s4,
+                   sum(w * y) AS t0, sum(w * y * u) AS t1, sum(w * y * u ** 2) AS t2
+            FROM (SELECT *, CASE WHEN abs(u) < 1 THEN (1 - abs(u) ** 3) ** 3 ELSE 0 END AS w
+                  FROM (SELECT c, reach, y, (x - c) / reach AS u FROM reached, pts WHERE reach > 0))
+            GROUP BY c, reach
+        ), fits AS (
+            SELECT c, CASE WHEN used >= 3 AND det <> 0
+                      THEN (t0 * (s2 * s4 - s3 * s3) - s1 * (t1 * s4 - t2 * s3) + s2 * (t1 * s3 - t2 * s2)) / det END AS v,
+                   CASE WHEN used >= 3 AND det <> 0
+                   THEN (s0 * (t1 * s4 - t2 * s3) - t0 * (s1 * s4 - s2 * s3) + s2 * (s1 * t2 - s2 * t1)) / det / reach END AS d
+            FROM (SELECT *, s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s2 * s3) + s2 * (s1 * s3 - s2 * s2) AS det FROM sums)
+        ), spans AS (
+            SELECT c AS c0, v AS v0, d AS d0, lead(c) OVER by_c AS c1, lead(v) OVER by_c AS v1, lead(d) OVER by_c AS d1
+            FROM ends LEFT JOIN fits USING (c) WINDOW by_c AS (ORDER BY c)
+        )
+        SELECT x, (1 - t) ** 2 * (1 + 2 * t) * v0 + t ** 2 * (3 - 2 * t) * v1
+                  + (c1 - c0) * (t * (1 - t) ** 2 * d0 - t ** 2 * (1 - t) * d1) AS trend
+        FROM (SELECT *, (x - c0) / (c1 - c0) AS t
+              FROM (SELECT low + i * ((high - low) / 79) AS x FROM extent, range(80) positions(i) WHERE n > 0)
+              JOIN spans ON x >= c0 AND x < c1))"""
+
 ORACLE = {
     "step_activity_all": _with("SELECT * FROM activity"),
     "enrolments_all": _with("SELECT * FROM enrolments"),
@@ -394,6 +441,7 @@ ORACLE = {
     ),
     "threshold_curve": _with(_THRESHOLDS),
     "week1_steps_trend": _with(_TREND),
+    "week1_steps_trend_drawn": _with(_DRAWN),
     "enrollment_summary": _with(
         f"""SELECT 'Total Enrollments' AS metric, {_comma('n_enrolled')} AS value FROM overall
             UNION ALL SELECT 'Active Learners (≥1 step)', {_comma('n_active')} FROM overall

@@ -149,37 +149,113 @@ def test_bands_of_the_lift(spark):
     assert report.week1_high_share(levels, bands).first()[0] == 50.0
 
 
-def brute_trend(xs, ys, span=0.75):
+def brute_fits(xs, ys, centres, span=0.75):
+    """Value and slope of the weighted quadratic at each centre."""
     fits = []
-    for x0 in xs:
-        d = np.abs(xs - x0)
+    for c in centres:
+        d = np.abs(xs - c)
         q = int(span * len(xs))
-        h = np.sort(d)[q - 1] if q else 0
+        h = np.partition(d, q - 1)[q - 1] if q else 0
         if h == 0 or (d < h).sum() < 3:
-            fits.append(None)
+            fits.append((None, None))
             continue
         keep = d < h
         w = (1 - (d[keep] / h) ** 3) ** 3
-        fits.append(float(np.polyfit(xs[keep] - x0, ys[keep], 2, w=np.sqrt(w))[-1]))
+        fit = np.polyfit((xs[keep] - c) / h, ys[keep], 2, w=np.sqrt(w))
+        fits.append((float(fit[-1]), float(fit[-2] / h)))
     return fits
 
 
-@pytest.mark.parametrize("n", [3, 5, 8, 21, 60])
+def brute_cuts(low, high, most):
+    if high - low + 1 <= most:
+        return []
+    middle = (low + high) // 2
+    return [*brute_cuts(low, middle, most), middle, *brute_cuts(middle + 1, high, most)]
+
+
+def brute_curve(xs, ys, positions):
+    n = len(xs)
+    margin = 0.005 * max(xs[-1] - xs[0], max(abs(xs[0]), abs(xs[-1])) * 1e-3 + 1e-30)
+    cuts = [(xs[i] + xs[i + 1]) / 2 for i in brute_cuts(0, n - 1, max(int(n * 0.75 * 0.2), 1))]
+    ends = [xs[0] - margin, *cuts, xs[-1] + margin]
+    fits, curve = brute_fits(xs, ys, ends), []
+    for x in np.linspace(xs[0], xs[-1], positions):
+        i = int(np.searchsorted(ends, x, side="right")) - 1
+        (v0, d0), (v1, d1) = fits[i], fits[i + 1]
+        if v0 is None or v1 is None:
+            curve.append(None)
+            continue
+        w = ends[i + 1] - ends[i]
+        t = (x - ends[i]) / w
+        curve.append(
+            (1 - t) ** 2 * (1 + 2 * t) * v0 + t**2 * (3 - 2 * t) * v1 + w * (t * (1 - t) ** 2 * d0 - t**2 * (1 - t) * d1)
+        )
+    return curve
+
+
+def agree(ours, expected, close=1e-6):
+    assert [v is None for v in ours] == [v is None for v in expected]
+    both = [(a, b) for a, b in zip(ours, expected) if b is not None]
+    assert all(a == pytest.approx(b, rel=close, abs=close) for a, b in both)
+
+
+@pytest.mark.parametrize("n", [1, 3, 8, 60])
 def test_trend(spark, n):
     rng = random.Random(n)
     xs = np.array(sorted(rng.sample(range(200), n)), dtype=float)
     ys = np.array([rng.uniform(0, 100) for _ in range(n)])
     df = spark.createDataFrame([(int(x), float(y)) for x, y in zip(xs, ys)], "x bigint, y double")
     got = {r.x: r.trend for r in trend.local_trend(df, "x", "y").collect()}
-    for x, expected in zip(xs, brute_trend(xs, ys)):
-        assert got[x] == (pytest.approx(expected, rel=1e-6, abs=1e-6) if expected is not None else None)
-
-
-def test_trend_refuses_too_many_points(spark, monkeypatch):
-    monkeypatch.setattr(trend, "MAX_POINTS", 3)
-    df = spark.range(4).selectExpr("id x", "double(id) y")
-    with pytest.raises(Exception, match="at most 3 points"):
-        trend.local_trend(df, "x", "y").collect()
+    agree([got[int(x)] for x in xs], [v for v, _ in brute_fits(xs, ys, xs)])
+    curve = trend.drawn_trend(df, "x", "y", positions=33).orderBy("x").collect()
+    assert [r.x for r in curve] == pytest.approx(np.linspace(xs[0], xs[-1], 33))
+    agree([r.trend for r in curve], brute_curve(xs, ys, 33))
+
+
+def test_trend_of_any_number_of_points(spark):
+    """50,000 distinct x, very unevenly spread; every 100th fit is computed plainly."""
+    n, rng = 50_000, np.random.default_rng(4)
+    xs = np.unique(np.concatenate([rng.choice(4 * n, n // 2, replace=False) * 1e-3, 1e4 + np.arange(n // 2) ** 2.0]))
+    ys = rng.uniform(0, 100, len(xs)) + 30 * np.sin(np.arange(len(xs)) / 7000)
+    df = spark.createDataFrame([(float(x), float(y)) for x, y in zip(xs, ys)], "x double, y double").repartition(8)
+    got = {r.x: r.trend for r in trend.local_trend(df, "x", "y").collect()}
+    assert len(got) == len(xs)
+    some = xs[::100]
+    agree([got[x] for x in some], [v for v, _ in brute_fits(xs, ys, some)])
+    curve = [r.trend for r in trend.drawn_trend(df, "x", "y").orderBy("x").collect()]
+    agree(curve, brute_curve(xs, ys, 80))
+    # Cells in number as for a hundred points.
+    assert len(trend.cell_ends(n)) == len(trend.cell_ends(100)) == 7
+
+
+def test_trend_reads_a_bounded_number_of_blocks(spark):
+    """A neighbourhood is put together from at most two blocks of each size on either side."""
+    ranked = trend._ranked(spark.range(3_000).selectExpr("double(id * id) x", "double(id % 7) y"))
+    assert ranked.points.agg({"r": "sum"}).first()[0] == 3_000 * 2_999 // 2
+    near = trend._neighbourhoods(ranked, ranked.points.selectExpr("x c"), 2_250)
+    levels = trend._levels(ranked)
+    for r in near.sample(0.005, 1).collect():
+        for a, b in ((r.a, r.b), (r.b, r.e)):
+            blocks = spark.range(1).select(
+                trend.F.inline(trend._covering(levels, trend.F.lit(a), trend.F.lit(b), 1))
+            ).collect()
+            places = sorted(p for x in blocks for p in range(x.block << x.level, (x.block + 1) << x.level))
+            assert places == list(range(a, b)) and len(blocks) <= 2 * len(levels)
+
+
+def test_trend_without_some_numbers(spark):
+    rows = [(1.0, 2.0, "own")] * 1 + [(None, 1.0, "own"), (2.0, None, "own"), (3.0, float("nan"), "own"), (float("inf"), 1.0, "own")]
+    rows += [(float(10 + i), float(i * i), "own") for i in range(12)]
+    df = spark.createDataFrame(rows, "x double, y double, c string")
+    out = trend.local_trend(df, "x", "y")
+    assert out.columns == ["x", "y", "c", "trend"] and out.count() == len(rows)
+    valid = [(x, y) for x, y, _ in rows if x is not None and y is not None and np.isfinite(x) and np.isfinite(y)]
+    xs, ys = np.array(valid).T
+    got = {r.x: r.trend for r in out.collect()}
+    agree([got[x] for x in xs], [v for v, _ in brute_fits(xs, ys, xs)])
+    assert [got[x] for x in (None, 2.0, 3.0, float("inf"))] == [None] * 4
+    empty = df.where("x < 0")
+    assert trend.local_trend(empty, "x", "y").count() == 0 and trend.drawn_trend(empty, "x", "y").count() == 0
 
 
 def test_retention(activity):

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 
 def join_per_run(df: DataFrame, per_run: DataFrame) -> DataFrame:
@@ -11,8 +10,8 @@ def join_per_run(df: DataFrame, per_run: DataFrame) -> DataFrame:
 
     How many runs there are is known only at run time, so Spark picks the join from the size it
     measures: a broadcast for the usual few runs, else a sort-merge join whose hot runs are split.
-    Spark splits only where both sides come straight from a shuffle of the join's own; a table just
-    grouped by run wouldn't, so its key is written as a new expression.
+    Spark splits only where both sides come straight from a shuffle of the join's own, which a table just
+    grouped by run doesn't. Its few rows are therefore dealt out anew in between, which, unlike
+    a rewritten key, leaves it known that a run has one row: a join whose columns nobody reads is dropped.
     """
-    own = per_run.withColumn("course_run", F.concat("course_run", F.lit("")))
-    return df.join(own, "course_run", "left")
+    return df.join(per_run.hint("rebalance"), "course_run", "left")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from conftest import SF_SMALL
 
 from coursepulse import CourseTables
-from coursepulse.operators import distributions, histogram, joins
+from coursepulse.operators import distributions, early, histogram, joins
 from coursepulse.plans.queries import QUERIES
 
 
@@ -89,10 +89,10 @@ def test_first_week_queries_scan_one_week(tables, name):
 
 
 def test_trend_needs_no_course_size(tables):
-    df = QUERIES["week1_steps_trend"](tables)
-    df.collect()
-    # The points and the array of all points come from one exchange.
-    assert all("l_returnflag" in scan for scan in line_scans(df)) and "ReusedExchange" in plan_of(df)
+    points = early.completion_by_week1_steps(tables.learner_week1_active)
+    assert len(line_scans(points)) == 1 and "l_returnflag" in line_scans(points)[0]
+    # The points are computed once and kept; the fits read them from there.
+    assert line_scans(QUERIES["week1_steps_trend"](tables)) == []
 
 
 def test_histogram_counts_once(spark, tables):

@@ -6,14 +6,18 @@ from collections.abc import Iterable
 from copy import copy
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from coursepulse.functions.bands import Bands
 from coursepulse.model import (
     BANDS,
     CSV_TABLES,
+    DEMOGRAPHICS,
     LEARNER_KEYS,
     REPORT_TABLES,
+    STEP_KEYS,
+    UNKNOWN,
     inconsistent_steps,
     require_columns,
     require_keys,
@@ -21,7 +25,7 @@ from coursepulse.model import (
 )
 from coursepulse.operators import activity as act
 from coursepulse.operators import early, learners
-from coursepulse.sources import csv_runs, star, store
+from coursepulse.sources import csv_runs, star, store, versions
 
 
 def _as_options(stored: dict) -> dict:
@@ -60,8 +64,10 @@ class CourseTables:
         "week1_by_completion",
         "completion_by_week1_level",
     )
-    # Written first, each from the ones before it.
-    BASE = ("step_activity_clean", "run_sizes", "learner_with_week1")
+    # Written first, each from the ones before it; the inputs are read for their own copies alone.
+    BASE = ("step_activity_all", "enrolments_all", "step_activity_clean", "run_sizes", "learner_with_week1")
+    # Columns that may not be NULL, by input.
+    KEYS = {"step_activity_all": STEP_KEYS, "enrolments_all": LEARNER_KEYS}
 
     def __init__(
         self,
@@ -81,6 +87,8 @@ class CourseTables:
         self.week = week
         self.bands = bands
         self.step_fixes_week = step_fixes_week
+        # Of published tables: rows, NULL keys and missing demographics of the inputs.
+        self.figures: dict = {}
 
     @classmethod
     def from_csv(
@@ -112,14 +120,21 @@ class CourseTables:
         Options that differ are honoured: then only the inputs and the cleaned activity are
         taken from the store, and everything else is derived from these.
         """
-        store.require_published(spark, folder, REPORT_TABLES)
-        names = [*cls.LARGE, *cls.SMALL, "run_sizes"]
-        loaded = {name: store.load(spark, folder, name) for name in store.published(spark, folder, names)}
-        known = store.load_options(spark, folder)
-        tables = cls(
-            loaded.pop("step_activity_all"), loaded.pop("enrolments_all"), **{**_as_options(known or {}), **options}
-        )
-        if known is None or tables.options != _as_options(known):
+        version = versions.current(spark, folder)
+        if version is None:
+            raise ValueError(f"nothing is published at {folder}")
+        return cls._from_version(spark, folder, version, options)
+
+    @classmethod
+    def _from_version(
+        cls, spark: SparkSession, folder: str, version: versions.Version, options: dict | None = None
+    ) -> CourseTables:
+        version.require(REPORT_TABLES)
+        loaded = {name: versions.load(spark, folder, name, entry) for name, entry in version.entries.items()}
+        known = _as_options(version.options)
+        tables = cls(loaded.pop("step_activity_all"), loaded.pop("enrolments_all"), **{**known, **(options or {})})
+        tables.figures = version.figures
+        if tables.options != known:
             vars(tables).update(step_activity_clean=loaded["step_activity_clean"])
             return tables
         tables._serve_learners(loaded["learner_with_week1"])
@@ -134,30 +149,111 @@ class CourseTables:
     def validate(self) -> CourseTables:
         """Check what the joins and the dedup assume: keys are present, a step has one week if so stated.
 
-        Runs two or three aggregations over the inputs. ``publish`` calls it; lazy use skips it.
+        Runs two or three aggregations over the inputs. ``publish`` checks the same while it copies them;
+        lazy use skips it.
         """
-        require_keys(self.step_activity_all, (*LEARNER_KEYS, "step"), "step_activity")
+        require_keys(self.step_activity_all, STEP_KEYS, "step_activity")
         require_keys(self.enrolments_all, LEARNER_KEYS, "enrolments")
+        return self._require_one_week()
+
+    def _require_one_week(self) -> CourseTables:
         if self.step_fixes_week and not inconsistent_steps(self.step_activity_all).isEmpty():
             raise ValueError("step_activity has steps with several weeks or step numbers; unset step_fixes_week")
         return self
 
+    def _watched(self, name: str, df: DataFrame) -> dict[str, Column]:
+        """Figures of an input, taken while its copy is written."""
+        if name not in self.KEYS:
+            return {}
+        figures = {"rows": F.count(F.lit(1))}
+        figures |= {f"null_{c}": F.count_if(F.col(c).isNull()) for c in self.KEYS[name]}
+        if name == "enrolments_all":
+            known = [c for c in DEMOGRAPHICS if c in df.columns]
+            figures |= {f"missing_{c}": F.count_if(F.col(c).isNull() | (F.col(c) == UNKNOWN)) for c in known}
+        return figures
+
+    def _write(self, writer: versions.Writer, name: str, runs: list[str] | None = None) -> None:
+        """Write one table and serve it from there; an input with NULL keys is refused."""
+        df = getattr(self, name)
+        large = name in self.LARGE
+        replacing = runs if large else None
+        written = writer.write(df, name, large, self._watched(name, df), replacing)
+        if name in self.KEYS:
+            figures = writer.figures[name]
+            bad = {c: figures[f"null_{c}"] for c in self.KEYS[name] if figures[f"null_{c}"]}
+            if bad:
+                raise ValueError(f"{name} has NULL keys: {bad}")
+        if runs is not None and large:
+            written = written.where(F.col("course_run").isin(runs))
+        vars(self)[name] = written
+        if name == "step_activity_all":
+            self._require_one_week()
+        if name == "learner_with_week1":
+            self._serve_learners(written)
+
     def publish(self, folder: str, names: Iterable[str] = (*LARGE, *SMALL)) -> CourseTables:
-        """Write the named tables as Parquet and serve them from there afterwards.
+        """Write the named tables as Parquet, as a new version of the folder, and serve them from there afterwards.
 
-        The cleaned activity, the run sizes and the learner table are written first and the
-        rest is derived from the written ones, so nothing expensive is computed twice. The inputs
-        are validated first, and the options are stored beside the tables.
+        The inputs are copied first, which is the only time they are read, and checked on the way; the rest is
+        derived from the copies, each table from the written ones before it, so nothing expensive is computed
+        twice. The version is taken into use at the end, with its options: after a failure the one before
+        is served as it was. ``versions.vacuum`` clears what is no longer used.
         """
-        self.validate()
+        writer = versions.Writer(self.enrolments_all.sparkSession, folder)
+        # What was planned from the inputs before is planned anew from their copies.
+        self._forget()
         for name in dict.fromkeys([*self.BASE, *names]):
-            written = store.publish(getattr(self, name), folder, name, partitioned=name in self.LARGE)
-            vars(self)[name] = written
-            if name == "learner_with_week1":
-                self._serve_learners(written)
-        store.save_options(self.enrolments_all.sparkSession, folder, self.options)
+            self._write(writer, name)
+        self.figures = writer.commit(self.options).figures
         return self
 
+    @classmethod
+    def add_runs(cls, spark: SparkSession, folder: str, step_activity: DataFrame, enrolments: DataFrame) -> CourseTables:
+        """Publish a version with further rows, of new runs or of known ones, and return it.
+
+        Every large table holds its rows by run, so the folders of the runs that the new rows name are
+        written anew and all others are taken over. The new activity is merged into the stored clean one by
+        its keys. The result is that of publishing all rows together; only the summaries over all runs
+        read other runs, from the learner table.
+        """
+        writer = versions.Writer(spark, folder)
+        if writer.base is None:
+            raise ValueError(f"nothing is published at {folder}")
+        old = cls._from_version(spark, folder, writer.base)
+        # The driver sees the names of the new rows' runs.
+        named = step_activity.select("course_run").union(enrolments.select("course_run")).distinct().collect()
+        runs = sorted(r.course_run for r in named if r.course_run is not None)
+        touched = F.col("course_run").isin(runs)
+
+        def with_old(name: str, new: DataFrame) -> DataFrame:
+            # Rows without a run stay in, to be refused.
+            return getattr(old, name).where(touched).unionByName(new, allowMissingColumns=True)
+
+        part = cls(with_old("step_activity_all", step_activity), with_old("enrolments_all", enrolments), **old.options)
+        merged = with_old("step_activity_clean", step_activity).select(part.step_activity_all.columns)
+        vars(part)["step_activity_clean"] = act.clean_step_activity(merged, part.step_fixes_week)
+        # What is stored by run, whether in folders or in a few rows, comes from the runs touched.
+        for name in dict.fromkeys([*cls.BASE, *(n for n in cls.LARGE if n in writer.base.entries)]):
+            if name in cls.LARGE:
+                part._write(writer, name, runs)
+            else:
+                kept = getattr(old, name).where(~touched)
+                vars(part)[name] = store.checkpointed(getattr(part, name))
+                writer.write(kept.unionByName(vars(part)[name]), name)
+        whole = cls._from_entries(spark, folder, writer, old.options)
+        for name in (n for n in writer.base.entries if n not in writer.entries):
+            whole._write(writer, name)
+        return cls._from_version(spark, folder, writer.commit(old.options))
+
+    @classmethod
+    def _from_entries(cls, spark: SparkSession, folder: str, writer: versions.Writer, options: dict) -> CourseTables:
+        """The tables that a writer has so far, over all runs."""
+        loaded = {name: versions.load(spark, folder, name, entry) for name, entry in writer.entries.items()}
+        tables = cls(loaded.pop("step_activity_all"), loaded.pop("enrolments_all"), **options)
+        tables._serve_learners(loaded["learner_with_week1"])
+        vars(tables).update(loaded)
+        return tables
+
     def _serve_learners(self, stored: DataFrame) -> None:
         """Take the other forms of the learner table from its stored one."""
         summary = [c for c in stored.columns if not c.startswith("week1_")]
@@ -188,12 +284,16 @@ class CourseTables:
         people = store.open_bucketed(spark, folder, f"{prefix}enrolments_all")
         return cls(clean, people, **options)._with_inputs(clean, people)
 
+    def _forget(self) -> None:
+        """Drop the derived tables planned so far."""
+        for name in list(vars(self)):
+            if isinstance(getattr(type(self), name, None), cached_property):
+                del vars(self)[name]
+
     def _with_inputs(self, clean: DataFrame, enrolments: DataFrame) -> CourseTables:
         """The same course over an activity table that is already clean."""
         tables = copy(self)
-        for name in vars(self):
-            if isinstance(getattr(type(self), name, None), cached_property):
-                del vars(tables)[name]
+        tables._forget()
         vars(tables).update(step_activity_clean=clean, enrolments_all=enrolments)
         return tables
 

@@ -14,20 +14,22 @@ EDGE_TOLERANCE = 1e-8
 SINGLE_BIN_WIDTH = 0.1
 
 
-def histogram(df: DataFrame, value: str, by: Sequence[str], bins: int) -> DataFrame:
+def histogram(df: DataFrame, value: str, by: Sequence[str], bins: int, few_values: bool = False) -> DataFrame:
     """Rows per bin and group, empty bins included.
 
     The width is (max - min) / (bins - 1); edges lie at width / 2 plus whole widths, and the
     lowest bin starts at the highest edge not above the minimum. Bins are closed on the right.
 
-    The input is read once, into counts per distinct value; range, bins and groups are all
-    taken from those counts.
+    A first pass finds the range, a second counts the bins, combined before the shuffle: what is shuffled are
+    bins, however many values there are. With ``few_values`` the caller states that there are few distinct
+    values, as of step counts. The input is then read once, into counts per value, and range, bins and
+    groups are all taken from those counts. The result is the same.
     """
-    counts = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*by, F.col(value).cast("double").alias("value"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("value"))
+    if few_values:
+        counts = rows.groupBy(*by, "value").agg(F.count(F.lit(1)).alias("n"))
+    else:
+        counts = rows.withColumn("n", F.lit(1).cast("bigint"))
     span = counts.agg(F.struct(F.min("value").alias("lo"), F.max("value").alias("hi")).alias("span"))
     width = F.col("span.hi") - F.col("span.lo")
     with_grid = (
@@ -50,6 +52,8 @@ def histogram(df: DataFrame, value: str, by: Sequence[str], bins: int) -> DataFr
     binned = with_grid.select(
         *by, bin_of("value").alias("bin"), bin_of("span.hi").alias("last_bin"), "origin", "width", "n"
     )
+    if not few_values:
+        binned = binned.groupBy(*by, "bin", "last_bin", "origin", "width").agg(F.sum("n").alias("n"))
     empty = binned.select(*by, "last_bin", "origin", "width").distinct().select(
         *by,
         F.explode(F.sequence(F.lit(0), F.col("last_bin"))).alias("bin"),

@@ -89,6 +89,8 @@ class CourseTables:
         self.step_fixes_week = step_fixes_week
         # Of published tables: rows, NULL keys and missing demographics of the inputs.
         self.figures: dict = {}
+        # Of CSV files: lines that could not be read whole. ``publish`` stores them.
+        self.rejected_rows: DataFrame | None = None
 
     @classmethod
     def from_csv(
@@ -101,11 +103,17 @@ class CourseTables:
     ) -> CourseTables:
         """Tables over ``<course>-<run>_step-activity.csv`` and ``..._enrolments.csv``."""
         runs = list(runs)
-        return cls(
+        tables = cls(
             csv_runs.load_step_activity(spark, folder, course, runs=runs),
             csv_runs.load_enrolments(spark, folder, course, runs=runs),
             **options,
         )
+        lists = [
+            csv_runs.rejected(spark, folder, name, course, runs).withColumn("input", F.lit(name))
+            for name in ("step-activity", "enrolments")
+        ]
+        tables.rejected_rows = lists[0].unionByName(lists[1])
+        return tables
 
     @classmethod
     def from_star(cls, spark: SparkSession, folder: str, **options) -> CourseTables:
@@ -204,6 +212,8 @@ class CourseTables:
         self._forget()
         for name in dict.fromkeys([*self.BASE, *names]):
             self._write(writer, name)
+        if self.rejected_rows is not None:
+            self._write(writer, "rejected_rows")
         self.figures = writer.commit(self.options).figures
         return self
 
@@ -240,6 +250,8 @@ class CourseTables:
                 kept = getattr(old, name).where(~touched)
                 vars(part)[name] = store.checkpointed(getattr(part, name))
                 writer.write(kept.unionByName(vars(part)[name]), name)
+        if old.rejected_rows is not None:
+            writer.keep("rejected_rows")
         whole = cls._from_entries(spark, folder, writer, old.options)
         for name in (n for n in writer.base.entries if n not in writer.entries):
             whole._write(writer, name)

@@ -49,12 +49,17 @@ def any_week(t: CourseTables) -> CourseTables:
 
 
 def steps_histogram(t: CourseTables) -> DataFrame:
-    return histogram.histogram(t.learner_summary_active, "total_steps_completed", ["completed"], STEP_BINS)
+    active = t.learner_summary_active
+    return histogram.histogram(active, "total_steps_completed", ["completed"], STEP_BINS, few_values=True)
+
+
+def duration_histogram(t: CourseTables) -> DataFrame:
+    return histogram.histogram(t.learner_summary_active, "engagement_duration_days", ["completed"], STEP_BINS)
 
 
 def rates_histogram(t: CourseTables) -> DataFrame:
     long = distributions.week1_vs_overall_long(t.learner_with_week1_active)
-    return histogram.histogram(long, "completion_pct", ["period", "completed"], RATE_BINS)
+    return histogram.histogram(long, "completion_pct", ["period", "completed"], RATE_BINS, few_values=True)
 
 
 def steps_trend(t: CourseTables) -> DataFrame:
@@ -115,6 +120,7 @@ QUERIES: dict[str, Query] = {
     "week1_vs_overall_long": lambda t: distributions.week1_vs_overall_long(t.learner_with_week1_active),
     "steps_histogram": steps_histogram,
     "steps_histogram_peak": lambda t: histogram.peak(steps_histogram(t)),
+    "duration_histogram": duration_histogram,
     "week1_vs_overall_histogram": rates_histogram,
     "engagement_boxplot": lambda t: rounded(
         boxplot.box_statistics(distributions.engagement_long(t.learner_summary_active), boxplot.METRICS),

@@ -7,7 +7,7 @@ from collections import defaultdict
 from collections.abc import Iterable, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,6 +15,8 @@ from coursepulse.functions import parse_utc
 from coursepulse.model import CSV_TABLES, CsvTable, require_columns
 
 DEFAULT_RUNS = range(1, 8)
+# Column that holds a line whose fields are not as many as the header's.
+LINE = "_line"
 # Texts read as missing (fixed values).
 MISSING = ("", "NA")
 
@@ -42,15 +44,53 @@ def load_runs(
     reads it as a number and merges such steps.
     """
     spec = CSV_TABLES[table]
+    rows = _texts(spark, folder, table, course, runs)
+    return _empty(spark, spec) if rows is None else _convert(rows, spec, step_as_number, missing)
+
+
+def rejected(
+    spark: SparkSession,
+    folder: str,
+    table: str,
+    course: str,
+    runs: Iterable[int | str] = DEFAULT_RUNS,
+    *,
+    missing: Sequence[str] = MISSING,
+) -> DataFrame:
+    """Lines of the requested runs that could not be read whole: course_run, problems, line.
+
+    A problem is a column with a text that its type can't hold, or ``fields`` where a line has more or fewer fields
+    than the header. ``load_runs`` has such rows, too, with NULL where a value could not be read; this lists
+    them. The line is as in the file if its fields are too many or few, else it is put together from them.
+    """
+    spec = CSV_TABLES[table]
+    rows = _texts(spark, folder, table, course, runs, keep_lines=True)
+    if rows is None:
+        return spark.createDataFrame([], "course_run string, problems array<string>, line string")
+    columns = [c for c in rows.columns if c not in ("course_run", LINE)]
+
+    def problem(name: str) -> Column:
+        unread = ~F.col(name).isin(list(missing)) & _typed(F.col(name), spec, name).isNull()
+        return F.when(unread, F.concat(F.lit(f"{name}: "), F.col(name)))
+
+    checked = [c for c in columns if c in spec.utc_columns or not isinstance(spec.spark_type(c), T.StringType)]
+    problems = F.array(F.when(F.col(LINE).isNotNull(), "fields"), *map(problem, checked))
+    line = F.coalesce(LINE, F.concat_ws(",", *(F.coalesce(c, F.lit("")) for c in columns)))
+    found = rows.select("course_run", F.array_compact(problems).alias("problems"), line.alias("line"))
+    return found.where(F.size("problems") > 0)
+
+
+def _texts(
+    spark: SparkSession, folder: str, table: str, course: str, runs: Iterable[int | str], keep_lines: bool = False
+) -> DataFrame | None:
+    """All rows of the requested runs as texts, files with the same header in one scan; None if there is none."""
     by_header = defaultdict(list)
     paths = _present_files(spark, folder, table, run_names(course, runs))
     for path, header in _headers(spark, paths).items():
         by_header[header].append(path)
-    if not by_header:
-        return _empty(spark, spec)
-    scans = [_scan(spark, spec, table, header, paths) for header, paths in by_header.items()]
-    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), scans)
-    return _convert(rows, spec, step_as_number, missing)
+    spec = CSV_TABLES[table]
+    scans = [_scan(spark, spec, table, header, paths, keep_lines) for header, paths in by_header.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), scans) if scans else None
 
 
 def _present_files(spark: SparkSession, folder: str, table: str, names: list[str]) -> list[str]:
@@ -79,9 +119,14 @@ def _headers(spark: SparkSession, paths: list[str]) -> dict[str, tuple[str, ...]
 
 
 def _scan(
-    spark: SparkSession, spec: CsvTable, table: str, header: Sequence[str], paths: list[str]
+    spark: SparkSession, spec: CsvTable, table: str, header: Sequence[str], paths: list[str], keep_lines: bool
 ) -> DataFrame:
-    schema = T.StructType([T.StructField(c, spec.spark_type(c)) for c in header])
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
+    options = {}
+    if keep_lines:
+        schema = schema.add(LINE, T.StringType())
+        # Fields are counted only where all of them are read.
+        options = {"columnNameOfCorruptRecord": LINE, "columnPruning": False}
     rows = (
         spark.read.schema(schema)
         .options(
@@ -90,6 +135,7 @@ def _scan(
             escape='"',
             ignoreLeadingWhiteSpace=True,
             ignoreTrailingWhiteSpace=True,
+            **options,
         )
         .csv(paths)
     )
@@ -97,20 +143,33 @@ def _scan(
     return rows.withColumn("course_run", run)
 
 
+def _typed(text: Column, spec: CsvTable, name: str) -> Column:
+    """A text as the type of its column; NULL where it can't be read.
+
+    Runs may write whole numbers with or without decimals that are zero.
+    """
+    kind = spec.spark_type(name)
+    if name in spec.utc_columns:
+        return parse_utc(text)
+    if isinstance(kind, T.IntegralType):
+        number = text.try_cast("decimal(38,6)")
+        whole = F.when(number == F.floor(number), number.try_cast(kind))
+        return F.coalesce(text.try_cast(kind), whole)
+    return text if isinstance(kind, T.StringType) else text.try_cast(kind)
+
+
 def _convert(
     rows: DataFrame, spec: CsvTable, step_as_number: bool, missing: Sequence[str]
 ) -> DataFrame:
-    """Missing texts become NULL, time texts become timestamps; the rest stays as read."""
+    """Missing texts become NULL, the others take the types of their columns."""
     columns = {}
-    for f in rows.schema.fields:
-        if f.name == "course_run" or not isinstance(f.dataType, T.StringType):
+    for name in rows.columns:
+        if name == "course_run":
             continue
-        column = F.when(~F.col(f.name).isin(list(missing)), F.col(f.name))
-        if f.name in spec.utc_columns:
-            column = parse_utc(column)
-        elif f.name == "step" and step_as_number:
+        column = _typed(F.when(~F.col(name).isin(list(missing)), F.col(name)), spec, name)
+        if name == "step" and step_as_number:
             column = column.try_cast("double").cast("string")
-        columns[f.name] = column
+        columns[name] = column
     return rows.withColumns(columns)
 
 

@@ -136,6 +136,10 @@ class Writer:
         self.entries[name] = Entry(own.schema, partitioned, (*new, *kept))
         return load(self.spark, self.folder, name, self.entries[name])
 
+    def keep(self, name: str) -> None:
+        """Take a table over as it is."""
+        self.entries[name] = self.base.entries[name]
+
     def commit(self, options: dict) -> Version:
         """Take the version into use. Of two writers from one base, the second fails."""
         rows = [

@@ -427,6 +427,7 @@ ORACLE = {
     "week1_vs_overall_long": _with("SELECT * FROM rates_long"),
     "steps_histogram": _binned(*_STEPS_HISTOGRAM),
     "steps_histogram_peak": _binned(*_STEPS_HISTOGRAM, outer="SELECT max(n) AS y_max FROM histogram"),
+    "duration_histogram": _binned("active", "engagement_duration_days", "completed", 50),
     "week1_vs_overall_histogram": _binned("rates_long", "completion_pct", "period, completed", 30),
     "engagement_boxplot": _with(
         """SELECT metric, completed, count(*) AS n,

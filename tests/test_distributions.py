@@ -53,6 +53,8 @@ def test_histogram(spark, seed):
     data = [(rng.random() < 0.4, float(int(rng.expovariate(0.1)) + shift)) for _ in range(400)] + [(True, None)]
     df = spark.createDataFrame(data, "completed boolean, v double")
     rows = histogram.histogram(df, "v", ["completed"], 20).collect()
+    again = histogram.histogram(df, "v", ["completed"], 20, few_values=True).collect()
+    assert sorted(map(str, again)) == sorted(map(str, rows))
     expected, n_bins = brute_histogram([v for _, v in data if v is not None], 20)
     assert {(r.completed, r.bin) for r in rows} == {(c, b) for c in (True, False) for b in range(n_bins)}
     got = {}

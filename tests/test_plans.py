@@ -96,11 +96,21 @@ def test_trend_needs_no_course_size(tables):
 
 
 def test_histogram_counts_once(spark, tables):
-    df = histogram.histogram(tables.learner_summary_active, "total_steps_completed", ["completed"], 50)
+    active = tables.learner_summary_active
+    df = histogram.histogram(active, "total_steps_completed", ["completed"], 50, few_values=True)
     df.collect()
     assert "ReusedExchange" in plan_of(df)
 
 
+def test_histogram_of_continuous_values_shuffles_bins(tables):
+    df = QUERIES["duration_histogram"](tables)
+    df.collect()
+    plan = plan_of(df)
+    dealt = [re.sub(r"#\d+L?", "", x) for x in re.findall(r"hashpartitioning\((.*?), \d+\)", plan)]
+    assert any(x.startswith("completed, bin, ") for x in dealt) and not any("value" in x for x in dealt)
+    assert "ReusedExchange" in plan  # the bins and the list of groups come from one count
+
+
 def test_runs_are_joined_by_measured_size(spark, tables):
     """A few runs are broadcast at run time, and a hot run is split where they are not."""
     people = spark.range(40_000).select(

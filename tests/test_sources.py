@@ -106,6 +106,45 @@ def test_line_breaks_in_quoted_text(spark, tmp_path):
     assert rows[2].reason is None and rows[2].course_run == "course-5"
 
 
+def test_unreadable_lines_are_listed(spark, tmp_path):
+    write(
+        tmp_path, 1, "step-activity",
+        f"{STEPS}\n"
+        "a,1.1,1,1,2020-01-01 00:00:00 UTC,2020-01-02 00:00:00 UTC\n"
+        "b,1.2,one,2,2020-01-01 00:00:00 UTC,soon\n"
+        "c,1.3,1\n"
+        "d,1.4,1,4,2020-01-01 00:00:00 UTC,,more,and more\n"
+        "e,1.5,NA,,2020-01-01 00:00:00 UTC,NA\n"
+        "f,1.6,1.5,99999999999,2020-13-01 00:00:00 UTC,\n",
+    )
+    # Another run writes its whole numbers with decimals.
+    write(tmp_path, 2, "step-activity", f"{STEPS}\ng,2.1,2.0,1.00,2020-01-01 00:00:00 UTC,\n")
+    bad = {r.line: (r.course_run, r.problems) for r in csv_runs.rejected(spark, str(tmp_path), "step-activity", "course").collect()}
+    assert bad == {
+        "b,1.2,one,2,2020-01-01 00:00:00 UTC,soon": ("course-1", ["week_number: one", "last_completed_at: soon"]),
+        "c,1.3,1": ("course-1", ["fields"]),
+        "d,1.4,1,4,2020-01-01 00:00:00 UTC,,more,and more": ("course-1", ["fields"]),
+        "f,1.6,1.5,99999999999,2020-13-01 00:00:00 UTC,": (
+            "course-1", ["week_number: 1.5", "step_number: 99999999999", "first_visited_at: 2020-13-01 00:00:00 UTC"],
+        ),
+    }
+    rows = {r.learner_id: r for r in csv_runs.load_step_activity(spark, str(tmp_path), "course").collect()}
+    assert len(rows) == 7 and (rows["g"].week_number, rows["g"].step_number) == (2, 1)
+    assert (rows["b"].week_number, rows["b"].last_completed_at, rows["b"].step_number) == (None, None, 2)
+    assert (rows["c"].week_number, rows["c"].step_number) == (1, None) and rows["d"].step_number == 4
+    # Every value that is there as text and NULL in the table belongs to a line in the list.
+    assert csv_runs.rejected(spark, str(tmp_path), "step-activity", "course", runs=[2, 3]).count() == 0
+    assert csv_runs.rejected(spark, str(tmp_path), "enrolments", "course").count() == 0
+
+
+def test_unreadable_lines_are_published(spark, tmp_path):
+    write(tmp_path, 1, "step-activity", f"{STEPS}\na,1.1,1,1,2020-01-01 00:00:00 UTC,\nb,1.2,x,2,,\n")
+    write(tmp_path, 1, "enrolments", f"{PEOPLE}\na,2019-12-01 00:00:00 UTC,,learner,,,male,GB,18-25,U,U,U,too many\n")
+    CourseTables.from_csv(spark, str(tmp_path), "course", runs=[1]).publish(str(tmp_path / "s"))
+    stored = CourseTables.from_store(spark, str(tmp_path / "s")).rejected_rows
+    assert {(r.input, r.problems[0]) for r in stored.collect()} == {("step-activity", "week_number: x"), ("enrolments", "fields")}
+
+
 def test_crlf_file(spark, tmp_path):
     write(
         tmp_path, 2, "team-members",

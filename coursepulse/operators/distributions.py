@@ -32,6 +32,11 @@ def weekly_retention(clean: DataFrame, by_run: bool = False) -> DataFrame:
     weeks = clean.groupBy(*(["course_run"] if by_run else []), "week_number").agg(
         F.count_distinct("learner_id").alias("active_learners")
     )
+    return retention_of(weeks, by_run)
+
+
+def retention_of(weeks: DataFrame, by_run: bool = False) -> DataFrame:
+    """active_learners per week, on request within each run, with their percentage of the first week."""
     if by_run:
         in_order = W.partitionBy("course_run").orderBy(F.asc_nulls_last("week_number"))
         first_week = F.first("active_learners").over(in_order)

@@ -24,7 +24,7 @@ from coursepulse.model import (
     require_table,
 )
 from coursepulse.operators import activity as act
-from coursepulse.operators import early, learners
+from coursepulse.operators import early, learners, reach
 from coursepulse.sources import csv_runs, star, store, versions
 
 
@@ -53,6 +53,8 @@ class CourseTables:
         "week1_metrics",
         "learner_with_week1",
         "learner_with_week1_active",
+        "week_reach",
+        "enrolled_reach",
     )
     SMALL = (
         "inactive_summary",
@@ -65,7 +67,14 @@ class CourseTables:
         "completion_by_week1_level",
     )
     # Written first, each from the ones before it; the inputs are read for their own copies alone.
-    BASE = ("step_activity_all", "enrolments_all", "step_activity_clean", "run_sizes", "learner_with_week1")
+    BASE = (
+        "step_activity_all",
+        "enrolments_all",
+        "learner_numbers",
+        "step_activity_clean",
+        "run_sizes",
+        "learner_with_week1",
+    )
     # Columns that may not be NULL, by input.
     KEYS = {"step_activity_all": STEP_KEYS, "enrolments_all": LEARNER_KEYS}
 
@@ -182,7 +191,12 @@ class CourseTables:
 
     def _write(self, writer: versions.Writer, name: str, runs: list[str] | None = None) -> None:
         """Write one table and serve it from there; an input with NULL keys is refused."""
-        df = getattr(self, name)
+        if name == "learner_numbers":
+            df = reach.number_learners(self._learners())
+        elif name == "inactive_summary":
+            df = reach.never_active(self.enrolled_reach, self.week_reach)
+        else:
+            df = getattr(self, name)
         large = name in self.LARGE
         replacing = runs if large else None
         written = writer.write(df, name, large, self._watched(name, df), replacing)
@@ -242,11 +256,14 @@ class CourseTables:
         part = cls(with_old("step_activity_all", step_activity), with_old("enrolments_all", enrolments), **old.options)
         merged = with_old("step_activity_clean", step_activity).select(part.step_activity_all.columns)
         vars(part)["step_activity_clean"] = act.clean_step_activity(merged, part.step_fixes_week)
+        people = step_activity.select("learner_id").union(enrolments.select("learner_id"))
+        numbers = reach.number_learners(people, known=old.learner_numbers)
+        vars(part)["learner_numbers"] = writer.write(numbers, "learner_numbers", appending=True)
         # What is stored by run, whether in folders or in a few rows, comes from the runs touched.
         for name in dict.fromkeys([*cls.BASE, *(n for n in cls.LARGE if n in writer.base.entries)]):
             if name in cls.LARGE:
                 part._write(writer, name, runs)
-            else:
+            elif name not in writer.entries:
                 kept = getattr(old, name).where(~touched)
                 vars(part)[name] = store.checkpointed(getattr(part, name))
                 writer.write(kept.unionByName(vars(part)[name]), name)
@@ -323,6 +340,23 @@ class CourseTables:
     def inactive_summary(self) -> DataFrame:
         return act.never_active(self.enrolments_all, self.step_activity_all)
 
+    def _learners(self) -> DataFrame:
+        return self.enrolments_all.select("learner_id").union(self.step_activity_all.select("learner_id"))
+
+    @cached_property
+    def learner_numbers(self) -> DataFrame:
+        """A number for every learner; computed at once, as every computation deals out others."""
+        return store.checkpointed(reach.number_learners(self._learners()))
+
+    @cached_property
+    def week_reach(self) -> DataFrame:
+        """Learners of each week of a run as bitmaps, which merge over runs."""
+        return reach.reach(self.step_activity_clean, self.learner_numbers, ("course_run", "week_number"))
+
+    @cached_property
+    def enrolled_reach(self) -> DataFrame:
+        return reach.reach(self.enrolments_all, self.learner_numbers, ("course_run",))
+
     @cached_property
     def steps_per_run(self) -> DataFrame:
         return act.count_steps(self.step_activity_clean)

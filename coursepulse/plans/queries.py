@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from coursepulse.functions import parse_utc
 from coursepulse.model import DEMOGRAPHICS
-from coursepulse.operators import boxplot, distributions, early, histogram, learners, trend
+from coursepulse.operators import boxplot, distributions, early, histogram, learners, reach, trend
 from coursepulse.plans import report
 from coursepulse.plans.course import CourseTables
 
@@ -79,6 +79,7 @@ QUERIES: dict[str, Query] = {
     "enrolments_all": lambda t: t.enrolments_all,
     "parse_utc": visit_texts,
     "inactive_summary": lambda t: t.inactive_summary,
+    "inactive_summary_merged": lambda t: reach.never_active(t.enrolled_reach, t.week_reach),
     "dup_groups_step_activity": lambda t: t.dup_groups_step_activity,
     "step_activity_clean": lambda t: t.step_activity_clean,
     "steps_per_run": lambda t: t.steps_per_run,
@@ -112,6 +113,8 @@ QUERIES: dict[str, Query] = {
     "completion_funnel": lambda t: distributions.completion_funnel(t.completion_overall),
     "weekly_retention": lambda t: distributions.weekly_retention(t.step_activity_clean),
     "weekly_retention_by_run": lambda t: distributions.weekly_retention(t.step_activity_clean, by_run=True),
+    "weekly_retention_merged": lambda t: reach.weekly_retention(t.week_reach),
+    "weekly_retention_by_run_merged": lambda t: reach.weekly_retention(t.week_reach, by_run=True),
     "week1_level_distribution": lambda t: distributions.level_distribution(t.learner_week1),
     "step_activity_clean_any_week": lambda t: any_week(t).step_activity_clean,
     "week1_metrics_any_week": lambda t: any_week(t).week1_metrics,

@@ -105,11 +105,13 @@ class Writer:
         partitioned: bool = False,
         observe: dict[str, F.Column] | None = None,
         replacing: Iterable[str] | None = None,
+        appending: bool = False,
     ) -> DataFrame:
         """Write a table and return it as read back.
 
         observe: figures (aggregates) taken while the rows pass by; they end up in ``figures``. replacing: of a
-        table by run, the runs that df has all rows of; the folders of other runs are taken over.
+        table by run, the runs that df has all rows of; the folders of other runs are taken over. appending: all
+        rows of the version before stay.
         """
         path = f"{name}/{self._mark}"
         observation = None
@@ -127,6 +129,8 @@ class Writer:
         if replacing is not None and self.base and name in self.base.entries:
             gone = {self._run_folder(run) for run in replacing}
             kept = tuple(p for p in self.base.entries[name].paths if p.rsplit("/", 1)[-1] not in gone)
+        if appending and self.base and name in self.base.entries:
+            kept = self.base.entries[name].paths
         own = Entry(df.schema.json(), partitioned, new)
         if observation:
             written = load(self.spark, self.folder, name, own)

@@ -509,3 +509,5 @@ ORACLE = {
             FROM by_completion"""
     ),
 }
+#: The same results by other ways.
+ORACLE |= {f"{name}_merged": ORACLE[name] for name in ("inactive_summary", "weekly_retention", "weekly_retention_by_run")}

@@ -151,4 +151,5 @@ QUERIES: dict[str, Query] = {
         t.enrolments_all, t.step_activity_all, t.dup_groups_step_activity
     ),
     "format_summary_table": lambda t: report.format_summary_table(t.engagement_by_completion),
+    "format_summary_table_padded": lambda t: report.format_summary_table(t.engagement_by_completion, padded=True),
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -142,22 +142,42 @@ def dataset_dimensions(enrolments: DataFrame, activity: DataFrame, duplicates: D
     )
 
 
-def format_summary_table(df: DataFrame, digits: int = 2) -> DataFrame:
+def format_summary_table(df: DataFrame, digits: int = 2, padded: bool = False) -> DataFrame:
     """Numeric columns rounded and written with thousands separators; others unchanged.
 
-    All numbers of a column get the decimals that the one with the most needs.
+    All numbers of a column get the decimals that the one with the most needs; ``padded`` also gives them the
+    width of the longest, with spaces on the left. What the columns need is found in one pass for all of them.
     """
+    numeric = [f for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
 
-    def needed(name: str):
-        exact = F.round(name, digits)
-        enough = (F.when(F.round(name, d) == exact, d) for d in range(digits + 1))
-        return df.agg(F.coalesce(F.max(F.coalesce(*enough)), F.lit(0))).scalar()
+    def decimals(f: T.StructField) -> range:
+        return range(1) if isinstance(f.dataType, T.IntegralType) else range(digits + 1)
 
-    def text(f: T.StructField):
+    def text(f: T.StructField, places: Column | int) -> Column:
         if isinstance(f.dataType, T.IntegralType):
-            return count_text(f.name).alias(f.name)
-        if isinstance(f.dataType, T.NumericType):
-            return F.call_function("format_number", F.round(f.name, digits), needed(f.name)).alias(f.name)
-        return F.col(f.name)
-
-    return df.select(*(text(f) for f in df.schema.fields))
+            return count_text(f.name)
+        return F.call_function("format_number", F.round(f.name, digits), F.lit(places))
+
+    def needed(f: T.StructField) -> Column:
+        exact = F.round(f.name, digits)
+        enough = (F.when(F.round(f.name, d) == exact, d) for d in decimals(f))
+        return F.coalesce(F.max(F.coalesce(*enough)), F.lit(0))
+
+    def shape(f: T.StructField) -> Column:
+        widths = F.array(*(F.max(F.length(text(f, d))) for d in decimals(f)))
+        return F.struct(needed(f).alias("places"), widths.alias("widths")).alias(f.name)
+
+    def shown(f: T.StructField) -> Column:
+        if f not in numeric:
+            return F.col(f"`{f.name}`")
+        own = F.col("_shape").getField(f.name)
+        places = own.getField("places")
+        written = text(f, places)
+        if padded:
+            written = F.lpad(written, F.get(own.getField("widths"), places), F.lit(" "))
+        return written.alias(f.name)
+
+    if not numeric:
+        return df
+    shapes = df.agg(F.struct(*map(shape, numeric))).scalar()
+    return df.withColumn("_shape", shapes).select(*map(shown, df.schema.fields))

@@ -509,5 +509,10 @@ ORACLE = {
             FROM by_completion"""
     ),
 }
+_PADDED = ", ".join(
+    f"lpad({c}, max(length({c})) OVER ()::INTEGER, ' ') AS {c}"
+    for c in ("n", "mean_steps_completed", "median_steps_completed", "mean_weeks_active")
+)
+ORACLE["format_summary_table_padded"] = f"SELECT completed, {_PADDED} FROM ({ORACLE['format_summary_table']})"
 #: The same results by other ways.
 ORACLE |= {f"{name}_merged": ORACLE[name] for name in ("inactive_summary", "weekly_retention", "weekly_retention_by_run")}

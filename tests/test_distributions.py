@@ -296,6 +296,21 @@ def test_format_summary_table(spark):
     ]
 
 
+def test_format_summary_table_to_common_width(spark):
+    rows = [("x", 1234567, 1234.5678, 1, 12.0), ("y", 5, -1.0, -20, 3.0), (None, None, None, 3, None)]
+    df = spark.createDataFrame(rows, "a string, b bigint, c double, d int, `e f` double").repartition(1)
+    out = report.format_summary_table(df, padded=True)
+    assert out.columns == df.columns
+    assert [tuple(r) for r in out.collect()] == [
+        ("x", "1,234,567", "1,234.57", "  1", "12"), ("y", "        5", "   -1.00", "-20", " 3"), (None, None, None, "  3", None),
+    ]
+    # All columns are looked at in one pass.
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("scalar-subquery") <= 2 and plan.count("Aggregate") <= 1
+    assert report.format_summary_table(df.select("a")).collect() == df.select("a").collect()
+    assert report.format_summary_table(df.limit(0), padded=True).collect() == []
+
+
 def test_ratios_without_a_base(spark):
     levels = spark.createDataFrame([("High", 0.5), ("Very Low", 0.0)], "week1_engagement_level string, completion_rate double")
     assert report.week1_lift(levels).first().lift is None

@@ -5,7 +5,8 @@ Spark adds them up, and discounts, contexts and lower orders (by continuation co
 joins on the n-grams, sharded by hash like any join. The finished table is cut into shards by the
 last two characters of the context, so that a shard answers alone for its places in a text; short
 n-grams go to every shard. Documents are scored shard by shard, with one shard, at most
-SHARD_ROWS rows and their short n-grams, broadcast at a time, and the sums are added up.
+SHARD_ROWS rows and their short n-grams, broadcast at a time; the sums are stored, the shard is dropped, and
+in the end the sums are added up. (A join of every document's own n-grams would shuffle some 20 times the text.)
 
 A text is kept if its perplexity is at most the threshold of its language: the QUANTILE of its trusted texts, each
 scored by a model that didn't see it. For that, trusted texts are dealt to FOLDS folds by id, and there is a model
@@ -284,7 +285,7 @@ class Table:
 
 
 class Shard:
-    """One shard of the model, with the n-grams short enough to be in all."""
+    """One shard of the models, with the n-grams short enough to be in all; a column of values for each model."""
 
     def __init__(self, rows: dict[str, np.ndarray], number: int, shards: int):
         self.number, self.shards = number, shards
@@ -294,14 +295,17 @@ class Shard:
             back = np.nan_to_num(rows["back"][own], nan=0.0)
             self.tables[size] = Table(rows["gram"][own], rows["logp"][own], back, high=rows["high"][own])
         #: Back-off weights of contexts of nothing but starts.
-        self.starts = {-s: b for s, b in zip(rows["size"].tolist(), np.nan_to_num(rows["back"], nan=0.0)) if s < 0}
-        #: What a symbol unknown to the model costs.
-        self.unknown = -np.log(2.0 * max(len(self.tables[1].values[0]), 1))
-
-    def scores(self, grams: np.ndarray, high: np.ndarray | None = None) -> np.ndarray:
-        """Log-probability of the last symbol of each n-gram; zero for n-grams of other shards."""
+        starts = np.flatnonzero(rows["size"] < 0)
+        self.starts = {-int(rows["size"][i]): np.nan_to_num(rows["back"][i], nan=0.0) for i in starts}
+        #: What a symbol unknown to a model costs.
+        kinds = np.sum(~np.isnan(self.tables[1].values[0]), axis=0)
+        self.unknown = -np.log(2.0 * np.maximum(kinds, 1))
+
+    def scores(self, grams: np.ndarray, high: np.ndarray | None = None, model: np.ndarray | None = None) -> np.ndarray:
+        """Log-probability of the last symbol of each n-gram under a model, the first if none is named; zero for n-grams of other shards."""
         out = np.zeros(len(grams))
         high = np.zeros(len(grams), np.int64) if high is None else high
+        model = np.zeros(len(grams), np.int64) if model is None else model
         left = np.arange(len(grams))
         if self.shards > 1:
             left = left[_shard(grams >> BITS, high >> HIGH_BITS, self.shards) == self.number]
@@ -309,37 +313,52 @@ class Shard:
             keys, upper = grams[left] & (1 << BITS * size) - 1, high[left] & (1 << HIGH_BITS * size) - 1
             at = self.tables[size].find(keys, upper)
             hit = at >= 0
-            out[left[hit]] += self.tables[size].values[0][at[hit]]
+            found = np.full(len(left), np.nan)
+            found[hit] = self.tables[size].values[0][at[hit], model[left[hit]]]
+            # The table holds the n-grams of all models; one that a model lacks is none there.
+            hit = ~np.isnan(found)
+            out[left[hit]] += found[hit]
             left, keys, upper = left[~hit], keys[~hit], upper[~hit]
             if size > 1:
                 starts = (keys >> BITS == sum(START << BITS * i for i in range(size - 1))) & (upper >> HIGH_BITS == 0)
-                out[left[starts]] += self.starts.get(size - 1, 0.0)
+                if size - 1 in self.starts:
+                    out[left[starts]] += self.starts[size - 1][model[left[starts]]]
                 at = self.tables[size - 1].find(keys >> BITS, upper >> HIGH_BITS)
                 hit = at >= 0
-                out[left[hit]] += self.tables[size - 1].values[1][at[hit]]
-        out[left] += self.unknown
+                out[left[hit]] += self.tables[size - 1].values[1][at[hit], model[left[hit]]]
+        out[left] += self.unknown[model[left]]
         return out
 
 
 def _rows_of(table: DataFrame) -> dict[str, np.ndarray]:
-    found = table.toPandas()
-    kinds = {"size": np.int8, "gram": np.int64, "high": np.int64, "logp": np.float64, "back": np.float64}
-    return {c: found[c].to_numpy(k) for c, k in kinds.items()}
+    """Columns of a part of the table; those of the models side by side. The part comes as Arrow batches, not as rows."""
+    found = table.toArrow()
+    out = {c: found[c].to_numpy().astype(k) for c, k in {"size": np.int8, "gram": np.int64, "high": np.int64}.items()}
+    for kind in ("logp", "back"):
+        own = [c for c in found.column_names if c.startswith(kind)]
+        out[kind] = np.stack([found[c].to_numpy().astype(np.float64) for c in own], 1)
+    return out
 
 
 def scored(docs: DataFrame, table: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """docs (doc_id, lang, text) with places and perplexity, one row for each different document."""
+    """docs (doc_id, lang, text) with places and perplexity, one row for each different document.
+
+    A column fold of docs chooses the model of each document; without it, it is the first. The driver holds
+    one shard at a time: its sums are stored before the next one is fetched.
+    """
     spark = docs.sparkSession
     shards = max(1, -(-table.where(F.col("size") > SHORT).count() // shard_rows))
-    keyed = docs.select("doc_id", "lang", F.xxhash64("text").alias("text_hash"), "text")
+    model = F.col("fold") if "fold" in docs.columns else F.lit(0)
+    keyed = docs.select("doc_id", "lang", F.xxhash64("text").alias("text_hash"), "text", model.cast("int").alias("model"))
+    backs = F.coalesce(*(c for c in table.columns if c.startswith("back"))).isNotNull()
     passes = []
     for number in range(shards):
         # A long n-gram's row serves as one with its context's shard, and as a context with its own.
         own = _shard(*_context(), shards) == number
-        as_context = F.col("back").isNotNull() & (_shard(F.col("gram"), F.col("high"), shards) == number)
-        rows = _rows_of(table.where((F.col("size") <= SHORT) | own | as_context))
-        shared = spark.sparkContext.broadcast(rows)
-        passes.append(_pass(keyed, shared, number, shards))
+        as_context = backs & (_shard(F.col("gram"), F.col("high"), shards) == number)
+        shared = spark.sparkContext.broadcast(_rows_of(table.where((F.col("size") <= SHORT) | own | as_context)))
+        passes.append(stored(_pass(keyed, shared, number, shards), "sums"))
+        shared.destroy()
     key = ["doc_id", "lang", "text_hash"]
     total = reduce(DataFrame.unionAll, passes).groupBy(*key).agg(
         F.max("places").alias("places"), F.sum(F.col("logp") / F.col("places")).alias("mean"), F.count(F.lit(1)).alias("rows")
@@ -357,8 +376,9 @@ def _pass(keyed: DataFrame, shared, number: int, shards: int) -> DataFrame:
             for first in range(0, len(whole), ROWS):
                 batch = whole.slice(first, ROWS)
                 grams, high, places = ngrams([t or "" for t in batch.column(3).to_pylist()])
+                model = np.repeat(batch.column(4).to_numpy(), places)
                 starts = np.cumsum(places) - places
-                sums = np.add.reduceat(shard.scores(grams, high), starts) if len(grams) else np.zeros(0)
+                sums = np.add.reduceat(shard.scores(grams, high, model), starts) if len(grams) else np.zeros(0)
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(i) for i in range(3)), pa.array(places), pa.array(sums)],
                     ["doc_id", "lang", "text_hash", "places", "logp"],
@@ -411,13 +431,10 @@ def judge(docs: DataFrame, labels: DataFrame, shard_rows: int = SHARD_ROWS) -> D
     trusted = own.join(ids.hint("merge"), F.col("doc_id") == F.col("_id"), "left_semi").withColumn("fold", _fold())
     trusted = stored(trusted, "trusted")
     table = models(trusted, FOLDS)
-    scores = scored(own, _without(table, 0), shard_rows)
-    marked = scores.join(ids, F.col("doc_id") == F.col("_id"), "left")
+    marked = scored(own, _without(table, 0), shard_rows).join(ids, F.col("doc_id") == F.col("_id"), "left")
     scores = stored(marked.withColumn("trusted", F.col("_id").isNotNull()).drop("_id"), "perplexities")
-    unseen = [scores.where(F.col("trusted") & (_fold() == 0))]
-    for fold in range(1, FOLDS):
-        unseen.append(scored(trusted.where(F.col("fold") == fold), _without(table, fold), shard_rows))
-    unseen = stored(reduce(DataFrame.unionAll, (u.select("lang", "perplexity") for u in unseen)), "unseen")
+    # Every trusted document by the model that didn't see it, all in one pass.
+    unseen = stored(scored(trusted, table, shard_rows).select("lang", "perplexity"), "unseen")
     limits = thresholds(unseen).withColumnRenamed("lang", "_lang")
     overall = thresholds(unseen.withColumn("lang", F.lit("all"))).first()
     joined = scores.join(limits, F.col("lang").eqNullSafe(F.col("_lang")), "left")

@@ -241,7 +241,10 @@ class Table:
     """Values by key, looked up for whole arrays at once (open addressing); high holds the keys' upper bits, if any."""
 
     def __init__(self, keys: np.ndarray, *values: np.ndarray, high: np.ndarray | None = None):
-        self.mask = (1 << max(4, (4 * len(keys)).bit_length())) - 1
+        bits = max(4, (4 * len(keys)).bit_length())
+        self.mask = (1 << bits) - 1
+        # The upper bits of the product are those that all bits of a key take part in.
+        self.shift = np.uint64(64 - bits)
         self.keys = np.full(self.mask + 1, -1, np.int64)
         self.at = np.zeros(self.mask + 1, np.int32)
         self.high = high if high is not None and high.any() else None
@@ -258,7 +261,7 @@ class Table:
         mixed = keys.astype(np.uint64)
         if high is not None and self.high is not None:
             mixed = mixed + high.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-        return ((mixed * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(24)).astype(np.int64) & self.mask
+        return ((mixed * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
 
     def _same(self, place: np.ndarray, there: np.ndarray, keys: np.ndarray, high: np.ndarray | None) -> np.ndarray:
         same = there == keys

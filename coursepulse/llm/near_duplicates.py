@@ -275,7 +275,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one row of every group of near-duplicates, and all rows without doc_id."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    known = docs.where(F.col("doc_id").isNotNull()).join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
-    return known.dropDuplicates(["doc_id"]).unionAll(docs.where(F.col("doc_id").isNull()))
+    """docs with one row of every group of near-duplicates, and all rows without doc_id; columns as they were, whatever their names."""
+    names = docs.columns
+    doc = f"_col{[c.lower() for c in names].index('doc_id')}"
+    own = docs.toDF(*(f"_col{i}" for i in range(len(names))))
+    kept = near_duplicates(docs.select("doc_id", "text")).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    known = own.where(F.col(doc).isNotNull()).join(kept, F.col(doc) == F.col("_kept"), "left_semi")
+    return known.dropDuplicates([doc]).unionAll(own.where(F.col(doc).isNull())).toDF(*names)

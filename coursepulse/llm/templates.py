@@ -300,7 +300,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without those that leak an item; columns as they were."""
-    found = leaks(docs, benchmark).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
-    return docs.join(found, same, "left_anti")
+    """docs without those that leak an item; columns as they were, whatever their names."""
+    names = docs.columns
+    doc, text = (f"_col{[c.lower() for c in names].index(c)}" for c in ("doc_id", "text"))
+    own = docs.toDF(*(f"_col{i}" for i in range(len(names))))
+    found = leaks(docs.select("doc_id", "text"), benchmark)
+    found = found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    same = F.col(doc).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_hash"))
+    return own.join(found, same, "left_anti").toDF(*names)

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from check_oracle import compare
 from coursepulse.llm import near_duplicates as nd
@@ -86,6 +87,15 @@ def test_keep_one_returns_the_columns(documents):
     assert kept.where("doc_id is null").count() == 2
 
 
+def test_keep_one_with_clashing_columns(documents):
+    docs = documents([(1, "a b c"), (2, "a b c"), (3, "d"), (None, "a b c")], extra="_kept")
+    names = ["cid", "label", "component", "component_id", "kept", "n_shingles", "node", "_col0", "key", "size"]
+    docs = docs.select("*", *(F.lit("own").alias(c) for c in names))
+    out = nd.keep_one(docs)
+    assert out.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.kept, r._kept) for r in out.collect()) == [(0, "own", "own"), (1, "own", "own"), (3, "own", "own")]
+
+
 def test_empty_table(documents):
     docs = documents([(1, "x")]).where("doc_id > 1")
     assert nd.near_duplicates(docs).count() == 0

@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from coursepulse.llm import templates as t
 from coursepulse.llm.common import WordHashes, windows
 
@@ -119,3 +121,13 @@ def test_names_and_words_at_the_start_of_sentences(spark, documents):
         "and fresh milk"
     )
     assert leaking(spark, documents, middle, ["well " + middle.replace("Weng", "Kofi").replace("12", "15")]) == [0]
+
+
+def test_clean_with_clashing_columns(spark, documents):
+    item = "how many green apples does the old farmer sell on the market in one week"
+    docs = documents([(1, "once " + item + " asked nobody"), (2, "a text of its own"), (None, item)], extra="_id")
+    names = ["_hash", "hash", "item_id", "n_windows", "size", "place", "text_hash", "_col1"]
+    docs = docs.select("*", *(F.lit("own").alias(c) for c in names))
+    benchmark = spark.createDataFrame([(7, item)], "item_id long, text string")
+    out = t.clean(docs, benchmark)
+    assert out.columns == docs.columns and [(r.doc_id, r._id, r._hash) for r in out.collect()] == [(2, "own", "own")]

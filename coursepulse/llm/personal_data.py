@@ -102,19 +102,21 @@ def scanned(docs: DataFrame, text: str = "text") -> DataFrame:
     whole = F.coalesce(F.col(text), F.lit(""))
     found = docs.withColumn("base", base_spans(whole))
     others = [S.matches(whole, p, kind, len(BASE_KINDS) + i) for i, (kind, p) in enumerate(CANDIDATES.items())]
-    apart = F.filter(S.merged(*others), lambda s: ~S.overlaps(s, F.col("base")))
-    from_ = lambda s: F.greatest(s["start"] - CONTEXT, F.lit(0))
-    return found.withColumn("candidates", apart).withColumn(
-        "voted",
-        F.transform(
+
+    def in_context(parts: Column) -> Column:
+        return F.transform(
             F.concat("base", "candidates"),
             lambda s: F.struct(
                 s.alias("span"),
-                F.lower(F.substring(whole, from_(s) + 1, s["start"] - from_(s))).alias("before"),
-                F.lower(F.substring(whole, s["end"] + 1, F.lit(CONTEXT))).alias("after"),
+                F.lower(S.cut(parts, F.greatest(s["start"] - CONTEXT, F.lit(0)), s["start"])).alias("before"),
+                F.lower(S.cut(parts, s["end"], s["end"] + CONTEXT)).alias("after"),
             ),
-        ),
-    )
+        )
+
+    found = found.withColumn("candidates", S.apart(F.concat(*others), F.col("base")))
+    some = F.size("base") + F.size("candidates") > 0
+    parts = F.when(some, S.pieces(whole)).otherwise(F.array().cast("array<string>"))
+    return found.withColumn("voted", S.let(parts, in_context))
 
 
 def _any_word(words: list[str]) -> str:

@@ -35,6 +35,8 @@ CODES = 128
 SMOOTHING = 0.5
 #: Share of ordinary identifiers that the threshold lets pass for random.
 MISTAKES = 0.001
+#: Parts of a range that the search for a quantile counts at a time.
+SUB_RANGES = 4_096
 
 
 def base_spans(text: Column) -> Column:
@@ -52,7 +54,7 @@ def scanned(docs: DataFrame, text: str = "text") -> DataFrame:
     whole = F.coalesce(F.col(text), F.lit(""))
     found = docs.withColumn("base", base_spans(whole))
     candidates = S.matches(whole, CANDIDATE, "random", 3)
-    return found.withColumn("candidates", F.filter(candidates, lambda s: ~S.overlaps(s, F.col("base"))))
+    return found.withColumn("candidates", S.apart(candidates, F.col("base")))
 
 
 @dataclass(frozen=True)
@@ -103,8 +105,35 @@ def train(found: DataFrame) -> Model:
             from_code[label][pair // CODES] += n
     ratios = tuple(_log_ratio(counts, from_code, pair) for pair in range(CODES * CODES))
     score = labelled.where("not random").select(_ratio(F.col("value"), ratios).alias("ratio"))
-    least = score.agg(F.percentile("ratio", 1 - MISTAKES).alias("t")).first()["t"]
-    return Model(ratios, max(0.0, least))
+    return Model(ratios, max(0.0, quantile(stored(score, "ratios"), 1 - MISTAKES)))
+
+
+def quantile(values: DataFrame, share: float) -> float:
+    """Exact interpolated quantile of a table of one column of numbers, with at least one row.
+
+    The range that holds the rank is cut into SUB_RANGES parts, and the part that holds it is cut again, until
+    all its values are the same. Counting is combined before the shuffle; the driver sees a row for each part.
+    """
+    x = F.col(values.columns[0])
+    whole = values.agg(F.count(x).alias("n"), F.min(x).alias("least"), F.max(x).alias("most")).first()
+    place = (whole["n"] - 1) * share
+    rank, least, most = math.floor(place), whole["least"], whole["most"]
+    below = 0
+    while least < most:
+        part = F.least(F.floor((x - least) / (most - least) * SUB_RANGES), F.lit(SUB_RANGES - 1))
+        inside = values.where(x.between(least, most)).groupBy(part.alias("part"))
+        counted = inside.agg(F.count(x).alias("n"), F.min(x).alias("least"), F.max(x).alias("most"))
+        for r in sorted(counted.collect(), key=lambda r: r["part"]):
+            if rank < below + r["n"]:
+                least, most = r["least"], r["most"]
+                break
+            below += r["n"]
+    if place == rank:
+        return least
+    over = F.when(x > least, x)
+    after = values.agg((F.count(x) - F.count(over)).alias("n"), F.min(over).alias("next")).first()
+    upper = least if rank + 1 < after["n"] else after["next"]
+    return (rank + 1 - place) * least + (place - rank) * upper
 
 
 def _log_ratio(counts: dict, from_code: dict, pair: int) -> float:
@@ -137,15 +166,15 @@ def report(docs: DataFrame) -> DataFrame:
 
 def mask(docs: DataFrame, by: str = "[SECRET]") -> DataFrame:
     """docs with every secret in the text masked, and n_chars, where there is one, brought in line."""
-    model = train(stored(scanned(docs.select("text")).drop("text"), "secrets"))
     length = [i for i, c in enumerate(docs.columns) if c.lower() == "n_chars"]
 
     def apply(renamed: DataFrame, text: str) -> DataFrame:
-        found = with_spans(scanned(renamed, text), model)
+        found = stored(scanned(renamed, text), "secrets")
+        found = with_spans(found, train(found)).withColumn(text, S.masked(F.col(text), F.col("spans"), by))
         hit = F.size("spans") > 0
         for i in length:
-            own = F.length(S.masked(F.col(text), F.col("spans"), by)).cast(renamed.schema[f"_col{i}"].dataType)
+            own = F.length(text).cast(renamed.schema[f"_col{i}"].dataType)
             found = found.withColumn(f"_col{i}", F.when(hit, own).otherwise(F.col(f"_col{i}")))
-        return found.withColumn(text, S.masked(F.col(text), F.col("spans"), by))
+        return found
 
     return S.sheltered(docs, apply)

@@ -1,0 +1,72 @@
+"""Sweeps over spans against plain loops, and texts with very many of them."""
+
+import random
+import time
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from coursepulse.llm import personal_data as p
+from coursepulse.llm import secret_spans as s
+from coursepulse.llm import spans as S
+
+SPANS = "array<struct<start:int,rank:int,end:int,kind:string,value:string>>"
+
+
+def made(rnd, n, rank, longest):
+    spans = []
+    for _ in range(rnd.randint(0, n)):
+        start = rnd.randrange(120)
+        spans.append((start, rank, start + rnd.randint(1, longest), f"k{rank}", "v"))
+    return sorted(spans)
+
+
+def plainly_masked(text, spans, mask):
+    out, at = "", 0
+    for start, _, end, *_ in spans:
+        if start >= at:
+            out += text[at:start] + mask
+        at = max(at, end)
+    return out + text[at:]
+
+
+def test_sweeps_against_plain_loops(spark, monkeypatch):
+    monkeypatch.setattr(S, "BLOCK", 4)
+    monkeypatch.setattr(S, "PIECE", 7)
+    rnd = random.Random(9)
+    rows = []
+    for i in range(400):
+        text = "".join(rnd.choices("aé😀\n b", k=160))
+        rows.append((i, text, made(rnd, 12, 0, 20), made(rnd, 30, 3, 12)))
+    table = spark.createDataFrame(rows, f"i long, text string, base {SPANS}, more {SPANS}")
+    both = S.merged(F.col("base"), F.col("more"))
+    got = table.select(
+        "i", S.apart(F.col("more"), F.col("base")).alias("free"), S.masked(F.col("text"), both, "##").alias("masked")
+    )
+    for r in got.collect():
+        _, text, base, more = rows[r.i]
+        free = [m for m in more if not any(b[0] < m[2] and m[0] < b[2] for b in base)]
+        assert [tuple(x) for x in r.free] == free
+        assert r.masked == plainly_masked(text, sorted(base + more), "##")
+
+
+def test_quantile_against_numpy(spark):
+    rnd = random.Random(2)
+    for values in ([1.5], [3.0, 3.0], [rnd.gauss(0, 1) for _ in range(3001)], [rnd.choice([0.1, 0.2, 7e9]) for _ in range(500)]):
+        table = spark.createDataFrame([(v,) for v in values], "x double").persist()
+        for share in (0.0, 0.25, 0.999, 1.0):
+            assert np.isclose(s.quantile(table, share), np.quantile(values, share), rtol=1e-12, atol=0)
+
+
+def test_texts_of_many_spans(spark, documents):
+    """40,000 spans and more in one text of 0.8 MB."""
+    text = " ".join(f"mail a{i}@b.org to Mary Smith{'' if i % 2 else ' and token=abcdefgh' + str(i)}" for i in range(20_000))
+    docs = documents([(1, text)])
+    began = time.monotonic()
+    found = p.report(docs).first()
+    assert found.n_email == 20_000
+    secrets = s.report(docs).first()
+    assert secrets.n_assign == 10_000
+    masked = s.mask(docs).first()
+    assert masked.text.count("[SECRET]") == 10_000 and masked.n_chars == len(masked.text)
+    assert time.monotonic() - began < 120

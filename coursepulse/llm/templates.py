@@ -9,11 +9,17 @@ name, so there are two readings of a template window. Windows of a document and
 positions) under one reading each are an alignment. It is a leak if a literal window matches, or if enough of the item's
 template windows match and the values in the slots are consistent: each value of the item stands
 for one value of the document. Two values of the item may have got the same new one.
-
-Defined cases: a null or empty text has no windows. An item of fewer than WINDOW words is one window; items of
-fewer than MIN_WORDS words leak only into documents with just the same words and no others. Items with equal text count as the one with the
+A value of several words, a name ("Mary Ann") or a number in words ("twenty five", "3 million"), is one
+placeholder, so windows and shifts of templates count placeholders and words, not words alone. An alignment of
+templates needs two words beside the placeholders: kinds alone would match every
+table of as many numbers. An item without them is found by its own values.
+
+Defined cases: a null or empty text has no windows. An item of fewer than WINDOW words is one window. An item of
+fewer than MIN_WORDS words is found where it stands by itself: between ends of texts, lines or sentences, marks
+between words, quotes or brackets; inside a sentence such few words say nothing. Items with equal text count as the one with the
 smallest id. Documents are told apart by id and text, so rows without id are judged each, and
-repeated rows alike.
+repeated rows alike. A very long text is worked on by one task, in memory of some 200 bytes a word. Without
+documents or items nothing leaks.
 """
 
 from __future__ import annotations
@@ -62,19 +68,26 @@ LITERAL, NUMBER_SLOT, NAME_SLOT, UNIT_SLOT, MEASURE_SLOT = range(5)
 #: Readings of a window: its words, or a template where capitalised words are names inside of sentences or everywhere.
 EXACT, INSIDE, EVERYWHERE = range(3)
 LINE_BREAK = re.compile(rb"[\r\n]+")
-#: Flags beside the kind in the low bits of a word's code.
-KIND, CAPITAL, CLOSES, EMPTY, FLAGS = 7, 8, 16, 32, 63
+#: Flags beside the kind in the low bits of a word's code: it is capitalised, ends a sentence, has no letter or digit,
+#: is a number in words, is followed by a mark, opens or ends something that stands by itself.
+KIND, CAPITAL, CLOSES, EMPTY, IN_WORDS, MARKED, OPENS, ENDS, FLAGS = 7, 8, 16, 32, 64, 128, 256, 512, 1023
+OPENING, ENDING = "\"'([{<“‘«„¿¡", ".!?:;\"')]}>”’»"
 
 
 def plain(word: str) -> str:
     return word.strip(EDGES).lower()
 
 
+def in_words(word: str) -> bool:
+    """Whether a plain word is a number: five, twenty-five."""
+    return all(part in NUMBER_WORDS for part in word.split("-"))
+
+
 def kind_of(word: str) -> int:
     """Kind of a plain word by itself."""
     if WITH_UNIT.fullmatch(word):
         return MEASURE_SLOT
-    if word in NUMBER_WORDS or NUMBER.fullmatch(word):
+    if in_words(word) or NUMBER.fullmatch(word):
         return NUMBER_SLOT
     return UNIT_SLOT if word in UNITS else NAME_SLOT if word in NAMES else LITERAL
 
@@ -87,7 +100,9 @@ class WordCodes(dict):
         own = plain(word)
         flags = kind_of(own) | (CAPITAL if word.strip(EDGES)[:1].isupper() else 0)
         flags |= CLOSES if word.rstrip("\"')”’»")[-1:] in (".", "!", "?", ":") else 0
-        flags |= 0 if own else EMPTY
+        flags |= (0 if own else EMPTY) | (IN_WORDS if in_words(own) else 0)
+        flags |= 0 if word[-1:].isalnum() else MARKED
+        flags |= (OPENS if word[0] in OPENING else 0) | (ENDS if word[-1] in ENDING else 0)
         if len(self) >= MAX_CACHED:
             self.clear()
         code = self[raw] = xxhash.xxh3_64_intdigest(own.encode()) & ~FLAGS | flags
@@ -114,7 +129,7 @@ def _rolled(x: np.ndarray, size: int) -> np.ndarray:
 
 
 class Windows:
-    """The windows of some texts: for each its text, first word, literal and template hash."""
+    """The windows of some texts in each reading: literal ones over words, templates over words and placeholders."""
 
     def __init__(self, raws: list[bytes | None], codes: WordCodes):
         self.words, counts, breaks = [], [], []
@@ -127,74 +142,95 @@ class Windows:
         code = np.fromiter(map(codes.__getitem__, self.words), np.uint64, len(self.words))
         text = np.repeat(np.arange(len(raws)), counts)
         flags = (code & np.uint64(FLAGS)).astype(np.int64)
-        closes = np.ones(len(code), bool)
-        closes[1:] = (flags[:-1] & CLOSES > 0) | (text[1:] != text[:-1])
-        closes[[i for i in breaks if i < len(code)]] = True
+        # Places before each word and after the last one: where a line or text begins, what ends there, what can't go on.
+        begins = np.zeros(len(code) + 1, bool)
+        begins[[0, len(code), *breaks]] = True
+        closes, apart = begins.copy(), begins.copy()
+        closes[1:-1] |= flags[:-1] & CLOSES > 0
+        apart[1:-1] |= (flags[:-1] & (ENDS | EMPTY) > 0) | (flags[1:] & (OPENS | EMPTY) > 0)
+        goes_on = ~apart[:-1]
+        goes_on[1:] &= flags[:-1] & MARKED == 0
         self.at = np.flatnonzero(flags & EMPTY == 0)
-        self.text = text[self.at]
-        self.literal = code[self.at] & ~np.uint64(FLAGS)
-        self.kind, self.template, self.slots_before = {}, {}, {}
-        named = (flags & KIND == LITERAL) & (flags & CAPITAL > 0)
-        for reading, names in ((INSIDE, named & ~closes), (EVERYWHERE, named)):
-            kind = np.where(names, NAME_SLOT, flags & KIND)[self.at]
-            self.kind[reading] = kind
-            self.template[reading] = np.where(kind == LITERAL, self.literal, kind.astype(np.uint64))
-            self.slots_before[reading] = np.append(0, np.cumsum(kind != LITERAL))
-        #: First word of each text and the number of its words.
-        self.size = np.bincount(self.text, minlength=len(raws))
-        self.first = np.cumsum(self.size) - self.size
-
-    def of(self, size: int):
-        """First words of all windows of a size, and for each reading their hashes and which windows have that form.
-
-        A window without placeholders has only its literal form.
-        """
-        if len(self.at) < size:
-            none = np.empty(0, np.uint64), np.empty(0, bool)
-            return np.empty(0, np.int64), dict.fromkeys((EXACT, INSIDE, EVERYWHERE), none)
-        n = len(self.at) - size + 1
-        inside = np.flatnonzero(self.text[:n] == self.text[size - 1 :])
-        forms = {EXACT: (_rolled(self.literal, size)[inside], np.ones(len(inside), bool))}
-        for reading in (INSIDE, EVERYWHERE):
-            before = self.slots_before[reading]
-            slots = (before[size:] - before[:n])[inside]
-            template = _rolled(self.template[reading], size)[inside]
-            forms[reading] = mixed(template + np.uint64(1)), (slots > 0) & (size >= MIN_WORDS)
-        return inside, forms
+        self.begins, self.ends = apart[:-1][self.at], apart[1:][self.at]
+        literal = code[self.at] & ~np.uint64(FLAGS)
+        own, goes_on = flags[self.at], goes_on[self.at]
+        self.n, self.n_words = len(raws), {}
+        self.token, self.text, self.first, self.hash, self.kind, self.slots_before = {}, {}, {}, {}, {}, {}
+        self._add(EXACT, text, np.arange(len(self.at)), np.zeros(len(self.at), np.int64), literal)
+        named = (own & KIND == LITERAL) & (own & CAPITAL > 0)
+        for reading, names in ((INSIDE, named & ~closes[:-1][self.at]), (EVERYWHERE, named)):
+            kind = np.where(names, NAME_SLOT, own & KIND)
+            more = np.zeros(len(kind), bool)
+            one_value = (kind[1:] == NAME_SLOT) | (kind[1:] == NUMBER_SLOT) & (own[1:] & IN_WORDS > 0)
+            more[1:] = goes_on[1:] & one_value & (kind[1:] == kind[:-1])
+            token = np.flatnonzero(~more)
+            kind = kind[token]
+            self._add(reading, text, token, kind, np.where(kind == LITERAL, literal[token], kind.astype(np.uint64)))
+
+    def _add(self, reading: int, text: np.ndarray, token: np.ndarray, kind: np.ndarray, hashed: np.ndarray) -> None:
+        """A reading: the first word of each token, and tokens' kinds and hashes."""
+        self.token[reading], self.kind[reading], self.hash[reading] = token, kind, hashed
+        self.text[reading] = text[self.at[token]]
+        self.slots_before[reading] = np.append(0, np.cumsum(kind != LITERAL))
+        self.n_words[reading] = np.bincount(self.text[reading], minlength=self.n)
+        self.first[reading] = np.cumsum(self.n_words[reading]) - self.n_words[reading]
+
+    def of(self, size: int, reading: int) -> tuple[np.ndarray, np.ndarray]:
+        """First tokens and hashes of all windows of a size. A window without placeholders has only its literal form."""
+        text = self.text[reading]
+        n = len(text) - size + 1
+        if n < 1 or reading != EXACT and size < MIN_WORDS:
+            return np.empty(0, np.int64), np.empty(0, np.uint64)
+        there = text[:n] == text[size - 1 :]
+        before = self.slots_before[reading]
+        if reading != EXACT:
+            there &= before[size:] > before[:n]
+        at = np.flatnonzero(there)
+        hashes = _rolled(self.hash[reading], size)[at]
+        return at, hashes if reading == EXACT else mixed(hashes + np.uint64(1))
+
+    def by_itself(self, at: np.ndarray, size: int) -> np.ndarray:
+        """Whether literal windows stand by themselves."""
+        return self.begins[at] & self.ends[at + size - 1]
 
     def slots(self, start: int, size: int, reading: int) -> list[tuple[int, int, str]]:
         """Placeholders of a window: offset, kind and value."""
-        kind = self.kind[reading]
+        kind, token = self.kind[reading], self.token[reading]
         return [
-            (i, int(kind[start + i]), plain(self.words[self.at[start + i]].decode("utf-8", "replace")))
-            for i in range(size)
-            if kind[start + i] != LITERAL
+            (i, int(kind[start + i]), self._value(token, start + i)) for i in range(size) if kind[start + i] != LITERAL
         ]
 
+    def _value(self, token: np.ndarray, i: int) -> str:
+        end = token[i + 1] if i + 1 < len(token) else len(self.at)
+        return " ".join(plain(self.words[w].decode("utf-8", "replace")) for w in self.at[token[i] : end])
+
 
 SLOTS = "slots array<struct<offset:int,kind:int,value:string>>"
-KEYED = f"hash long, exact boolean, reading int, size int, place int, {SLOTS}"
+KEYED = f"hash long, exact boolean, reading int, size int, place int, word int, {SLOTS}"
 
 
 def _emit(rows: list[tuple], lead: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
     slot = pa.struct([("offset", pa.int32()), ("kind", pa.int32()), ("value", pa.string())])
     fields = [
         *lead, ("hash", pa.int64()), ("exact", pa.bool_()), ("reading", pa.int32()), ("size", pa.int32()), ("place", pa.int32()),
-        ("slots", pa.list_(slot)),
+        ("word", pa.int32()), ("slots", pa.list_(slot)),
     ]
     columns = list(zip(*rows)) or [()] * len(fields)
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(columns, fields)], [n for n, _ in fields])
 
 
-def _rows(found: Windows, lead: list[tuple], start: int, size: int, hashed: int, reading: int) -> tuple:
-    text = found.text[start]
+def _rows(found: Windows, lead: tuple, start: int, size: int, hashed: int, reading: int) -> tuple:
+    """A window with its place among the text's tokens, and its first word."""
+    text = found.text[reading][start]
+    place = start - found.first[reading][text]
+    word = found.token[reading][start] - found.first[EXACT][text]
     exact = reading == EXACT
     slots = [] if exact else [{"offset": o, "kind": k, "value": v} for o, k, v in found.slots(start, size, reading)]
-    return (*lead[text], int(np.int64(np.uint64(hashed))), exact, reading, size, int(start - found.first[text]), slots)
+    return (*lead, int(np.int64(np.uint64(hashed))), exact, reading, size, int(place), int(word), slots)
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """(item_id, n_windows) and keyed windows of all items, equal texts once."""
+    """(item_id, n_windows of the reading) and keyed windows of all items, equal texts once."""
     items = benchmark.where(F.col("text").isNotNull()).groupBy("text").agg(F.min("item_id").alias("item_id"))
 
     def run(batches):
@@ -202,13 +238,12 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
         for batch in batches:
             raws, ids = utf8(batch.column(0)), batch.column(1).to_pylist()
             found, rows = Windows(raws, codes), []
-            sizes = np.minimum(found.size, WINDOW)
-            lead = [(i, int(n - s + 1)) for i, n, s in zip(ids, found.size, sizes)]
-            for size in range(1, WINDOW + 1):
-                at, forms = found.of(size)
-                own = sizes[found.text[at]] == size
-                for reading, (hashes, there) in forms.items():
-                    for i in np.flatnonzero(own & there):
+            for reading, n_words in found.n_words.items():
+                for size in range(1, WINDOW + 1):
+                    at, hashes = found.of(size, reading)
+                    text = found.text[reading][at]
+                    for i in np.flatnonzero(np.minimum(n_words[text], WINDOW) == size):
+                        lead = ids[text[i]], int(n_words[text[i]] - size + 1)
                         rows.append(_rows(found, lead, at[i], size, hashes[i], reading))
             yield _emit(rows, [("item_id", pa.int64()), ("n_windows", pa.int32())])
 
@@ -226,8 +261,8 @@ def bits_of(windows: DataFrame, n: int) -> tuple[np.ndarray, int]:
     return filter_, bits
 
 
-def document_windows(docs: DataFrame, shared: Broadcast, n_bits: int, sizes: list[int]) -> DataFrame:
-    """(doc_id, text_hash) and keyed windows of documents that pass the broadcast filter."""
+def document_windows(docs: DataFrame, shared: Broadcast, n_bits: int, sizes: list[tuple[int, int]]) -> DataFrame:
+    """(doc_id, text_hash) and keyed windows of documents, of these sizes and readings, that pass the broadcast filter."""
 
     def passes(bits, hashes):
         bit = hashes & np.uint64(n_bits - 1)
@@ -240,12 +275,13 @@ def document_windows(docs: DataFrame, shared: Broadcast, n_bits: int, sizes: lis
                 batch = whole.slice(first, ROWS)
                 lead = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
                 found, rows = Windows(utf8(batch.column(2)), codes), []
-                for size in sizes:
-                    at, forms = found.of(size)
-                    own = (size >= MIN_WORDS) | (found.size[found.text[at]] == size)
-                    for reading, (hashes, there) in forms.items():
-                        for i in np.flatnonzero(own & there & passes(bits, hashes)):
-                            rows.append(_rows(found, lead, at[i], size, hashes[i], reading))
+                for size, reading in sizes:
+                    at, hashes = found.of(size, reading)
+                    near = passes(bits, hashes)
+                    if size < MIN_WORDS:
+                        near &= found.by_itself(at, size)
+                    for i in np.flatnonzero(near):
+                        rows.append(_rows(found, lead[found.text[reading][at[i]]], at[i], size, hashes[i], reading))
                 yield _emit(rows, [("doc_id", pa.int64()), ("text_hash", pa.int64())])
 
     keyed = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
@@ -260,14 +296,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     items = stored(item_windows(benchmark), "items")
-    known = {r["size"]: r["n"] for r in items.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # At most WINDOW sizes of literal windows and of templates; a template is looked for in both readings.
+    known = {(r["size"], r["exact"]): r["n"] for r in items.groupBy("size", "exact").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = [(size, r) for size, exact in sorted(known) for r in ((EXACT,) if exact else (INSIDE, EVERYWHERE))]
     bits, n_bits = bits_of(items, sum(known.values()))
     shared = spark.sparkContext.broadcast(bits)
-    found = stored(document_windows(docs, shared, n_bits, sorted(known)), "windows")
+    found = stored(document_windows(docs, shared, n_bits, sizes), "windows")
 
+    literals = F.array_except(F.sequence(F.lit(0), F.col("size") - 1), F.col("slots.offset"))
     right = items.select(
         "item_id", "n_windows", "hash", "exact", "size", F.col("place").alias("item_place"),
         F.col("slots").alias("item_slots"), F.col("reading").alias("item_reading"),
+        (F.col("place") + F.array_min(literals)).alias("first_literal"),
+        (F.col("place") + F.array_max(literals)).alias("last_literal"),
     )
     matched = found.join(right, ["hash", "exact", "size"]).withColumn("shift", F.col("place") - F.col("item_place"))
     matched = stored(matched, "matched")
@@ -276,7 +317,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.count_distinct(F.when(F.col("exact"), F.col("item_place"))).alias("exact_windows"),
         F.count_distinct(F.when(~F.col("exact"), F.col("item_place"))).alias("template_windows"),
         F.count_distinct("item_place").alias("windows"),
-        F.min("place").alias("first_word"),
+        F.min("word").alias("first_word"),
+        # From the item's first word beside placeholders to its last: more than 0 for two words.
+        (F.max("last_literal") - F.min("first_literal")).alias("reach"),
     )
     values = matched.where(~F.col("exact")).select(*aligned, F.explode(F.arrays_zip("slots", "item_slots")).alias("s"))
     values = values.select(
@@ -290,7 +333,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     judged = counted.join(broken, same, "left")
     leaking = judged.where(
         (F.col("exact_windows") > 0)
-        | F.col("broken").isNull() & (F.col("windows") >= F.ceil(F.col("n_windows") * ITEM_SHARE))
+        | F.col("broken").isNull()
+        & (F.col("reach") > 0)
+        & (F.col("windows") >= F.ceil(F.col("n_windows") * ITEM_SHARE))
     )
     return leaking.groupBy("doc_id", "text_hash", "item_id", "n_windows").agg(
         F.max("exact_windows").alias("exact_windows"),

@@ -111,6 +111,99 @@ def test_items_of_mostly_placeholders_and_short_ones(spark, documents):
     assert leaking(spark, documents, "What is love?", ["what is love", "what is love now", "so what is love"]) == [0]
 
 
+def test_items_of_few_words_are_found_where_they_stand_by_themselves(spark, documents):
+    item = "What is love?"
+    texts = [
+        "Q: What is love?\nA: nobody knows", "He asked: what is love? Nobody knew.", "some words\nwhat is love\nmore words",
+        'she said "what is love" once more', "* What is love", "I know what is love. Do you", "what is love like", "love is what",
+        "What is\nlove", "text " * 50 + "«What is love»",
+    ]
+    assert leaking(spark, documents, item, texts) == [0, 1, 2, 3, 4, 8, 9]
+    assert leaking(spark, documents, "the", ["the old mill by the sea", "see\nThe\nend"]) == [1]
+
+
+def test_values_of_several_words(spark, documents):
+    item = "she puts 3 apples and then 4 pears into the green basket next to the old front door"
+    made = lambda a, b: "well " + item.replace("3", a).replace("4", b) + " now"
+    texts = [made("8", "twenty five"), made("two hundred", "3 million"), made("thirty-one", "9"), made("many", "few")]
+    assert leaking(spark, documents, item, texts) == [0, 1, 2]
+    item = "on the first day Mary Ann gives Bob, Alice and Tom some of the bread that Mary Ann has made"
+    new = item.replace("Mary Ann", "Kofi").replace("Bob, Alice and Tom", "Emma, Jean Pierre Marie and Weng Li")
+    crossed = new.replace("that Kofi", "that Emma")
+    assert leaking(spark, documents, item, ["well " + new, "well " + crossed]) == [0]
+
+
+def test_tables_of_numbers_are_no_leak(spark, documents):
+    table = "table of results 5 6 7 8 10 11 more words"
+    assert leaking(spark, documents, "12 35 7 9 4", [table, "so 12 35 7 9 4 it is"]) == [1]
+    assert leaking(spark, documents, "results 12 35 7 9 4", [table]) == []
+    assert leaking(spark, documents, "results 12 35 7 9 4 more", ["the results 5 6 7 8 9 more", table]) == [0]
+
+
+def plain_tokens(text, everywhere):
+    """Tokens of a line of lower-case words, digits, number words and capitalised names: (kind, value)."""
+    out = []
+    for i, word in enumerate(text.split()):
+        name = word[0].isupper() and (everywhere or i > 0)
+        kind = t.NAME_SLOT if name else t.kind_of(word.lower())
+        kind = t.LITERAL if kind == t.NAME_SLOT and not name else kind
+        one = kind == t.NAME_SLOT or kind == t.NUMBER_SLOT and not word.isdigit()
+        if one and out and out[-1][0] == kind:
+            out[-1] = kind, out[-1][1] + " " + word.lower()
+        else:
+            out.append((kind, word.lower()))
+    return out
+
+
+def plain_leak(doc, item):
+    """All alignments of all readings, one by one."""
+    words = lambda s: s.lower().split()
+    d, i = words(doc), words(item)
+    size = min(len(i), t.WINDOW)
+    if {tuple(d[a : a + size]) for a in range(len(d) - size + 1)} & {tuple(i[a : a + size]) for a in range(len(i) - size + 1)}:
+        return True
+    form = lambda x: x[0] or x[1]
+    for d in (plain_tokens(doc, False), plain_tokens(doc, True)):
+        for i in (plain_tokens(item, False), plain_tokens(item, True)):
+            size = min(len(i), t.WINDOW)
+            if size < t.MIN_WORDS:
+                continue
+            for shift in range(-len(i), len(d)):
+                met = [
+                    a for a in range(len(i) - size + 1)
+                    if a + shift >= 0 and a + shift + size <= len(d) and any(k for k, _ in i[a : a + size])
+                    and [*map(form, i[a : a + size])] == [*map(form, d[a + shift : a + shift + size])]
+                ]
+                at = {a + k for a in met for k in range(size)}
+                pairs = {(i[a], d[a + shift]) for a in at if i[a][0]}
+                consistent = len(pairs) == len({theirs for theirs, _ in pairs})
+                if consistent and sum(not i[a][0] for a in at) >= 2 and len(met) * 2 >= len(i) - size + 1:
+                    return True
+    return False
+
+
+def test_alignments_and_slots_against_a_plain_search(spark, documents):
+    rnd = random.Random(11)
+    literal, number, name = ["red", "box", "holds"], ["3", "14", "five", "twenty five", "2 million"], ["Kofi", "Mary Ann", "Weng"]
+    value = lambda: rnd.choice(rnd.choice([literal, literal, number, name]))
+    items = [" ".join(value() for _ in range(rnd.randint(5, 24))) for _ in range(20)]
+    texts = []
+    for _ in range(400):
+        words, swap = rnd.choice(items).split(), {}
+        for k in number + name:
+            swap[k] = rnd.choice(number if k in number else name)
+        if rnd.random() < 0.8:
+            words = [swap.get(w, w) for w in words]
+        if rnd.random() < 0.4:
+            words[rnd.randrange(len(words))] = value()
+        texts.append(" ".join([value() for _ in range(rnd.randint(0, 6))] + words + [value() for _ in range(rnd.randint(0, 6))]))
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    rows = t.leaks(documents(list(enumerate(texts))), benchmark).collect()
+    expected = {(d, i) for d, text in enumerate(texts) for i, item in enumerate(items) if plain_leak(text, item)}
+    assert {(r.doc_id, r.item_id) for r in rows} == expected
+    assert any(r.exact_windows == 0 for r in rows) and len(expected) < len(texts) * len(items) / 2
+
+
 def test_names_and_words_at_the_start_of_sentences(spark, documents):
     item = "Weng earns 12 coins for each of the red boxes that are sold at market"
     changed = item.replace("Weng", "Kofi").replace("12", "15")

@@ -7,7 +7,8 @@ rows (version, slot, shard), one per slot, so a map is at most MAX_SLOTS rows of
 
 Defined cases: a null key counts as its own value, a null text as no bytes. Rows that are alike in
 key and text are counted, not compared: they are dealt in bundles of BUNDLE, each with its own
-slot, so that copies can't fill one slot. An empty table gives the even first map.
+slot, so that copies can't fill one slot. A very long text is a size, a checksum and a hash like any other. Ties
+within a slot are in the order of key and hash. An empty table gives the even first map.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from coursepulse.llm.common import shared_folder
+from coursepulse.llm.common import shared_folder, stored
 
 SLOTS, MAX_SLOTS = 8_192, 1 << 16
 #: Alike records that share a slot.
@@ -123,10 +124,11 @@ def slot(*keys: str | Column, slots: int = SLOTS) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(slots)).cast("int")
 
 
-def slot_weights(df: DataFrame, slot_col: str, weight: str) -> dict[int, int]:
-    """Total weight of each slot: at most MAX_SLOTS numbers."""
-    found = df.groupBy(slot_col).agg(F.sum(weight).alias("w")).collect()
-    return {r[0]: int(r["w"]) for r in found}
+def slot_totals(bundles: DataFrame) -> tuple[dict[int, int], dict[int, int]]:
+    """Bytes and rows of each slot: at most MAX_SLOTS numbers each."""
+    total = F.sum(F.col("size") * F.col("n")).alias("bytes"), F.sum("n").alias("rows")
+    found = bundles.groupBy("virtual_slot").agg(*total).collect()
+    return {r[0]: int(r["bytes"]) for r in found}, {r[0]: int(r["rows"]) for r in found}
 
 
 def with_shard(df: DataFrame, slot_map: SlotMap, slot_col: str = "virtual_slot", name: str = "shard") -> DataFrame:
@@ -138,15 +140,16 @@ def with_shard(df: DataFrame, slot_map: SlotMap, slot_col: str = "virtual_slot",
 def deal(spark: SparkSession, docs: DataFrame, shards: int, slots: int = SLOTS, path: str | None = None) -> DataFrame:
     """Every document with size, checksum, shard and its place in the shard, by bytes.
 
-    Two versions of the map are stored at `path`: the even first one, and its rebalanced successor.
+    Two versions of the map are stored at `path`: the even first one, and its rebalanced successor. Texts are
+    read once; what is left of them is stored in the shared folder.
     """
     path = path or shared_folder(spark, "slot_map")
-    bundles = _bundles(docs, slots)
-    weights = slot_weights(bundles.withColumn("w", F.col("size") * F.col("n")), "virtual_slot", "w")
+    bundles = stored(_bundles(docs, slots), "bundles")
+    weights, counts = slot_totals(bundles)
     first = SlotMap.first(slots, shards)
     first.save(spark, path)
     first.rebalanced(weights, shards).save(spark, path)
-    return placed(bundles, SlotMap.load(spark, path))
+    return placed(bundles, SlotMap.load(spark, path), counts)
 
 
 def _bundles(docs: DataFrame, slots: int) -> DataFrame:
@@ -168,7 +171,7 @@ def _bundles(docs: DataFrame, slots: int) -> DataFrame:
     )
 
 
-def placed(bundles: DataFrame, slot_map: SlotMap) -> DataFrame:
+def placed(bundles: DataFrame, slot_map: SlotMap, counts: dict[int, int]) -> DataFrame:
     """Bundles laid out row by row, each with its shard and a place in it, gapless from 0.
 
     Places follow the slots of the shard and the order within each slot: rows are numbered slot by
@@ -176,11 +179,10 @@ def placed(bundles: DataFrame, slot_map: SlotMap) -> DataFrame:
     """
     within = W.partitionBy("virtual_slot").orderBy("doc_id", "text_hash", "bundle")
     numbered = bundles.withColumn("upto", F.sum("n").over(within))
-    counts = {r[0]: r[1] for r in bundles.groupBy("virtual_slot").agg(F.sum("n")).collect()}
     before, filled = [], [0] * slot_map.shards
     for s, shard in enumerate(slot_map.shard_of):
         before.append((s, shard, filled[shard]))
-        filled[shard] += int(counts.get(s, 0))
+        filled[shard] += counts.get(s, 0)
     starts = bundles.sparkSession.createDataFrame(before, "virtual_slot int, shard int, before long")
     start = F.col("before") + F.col("upto") - F.col("n")
     return numbered.join(F.broadcast(starts), "virtual_slot").select(

@@ -36,6 +36,31 @@ def test_every_row_has_a_place_and_sizes_are_near_equal(spark, documents, tmp_pa
     assert len({r.virtual_slot for r in rows if r.doc_id == 7}) > 5
 
 
+def test_shards_and_places_against_a_plain_layout(spark, documents, tmp_path):
+    texts = [(i, "ab" * (i * 37 % 211)) for i in range(400)] + [(7, "copy")] * 200 + [(None, "x"), (9, None)] * 3
+    docs = documents(texts)
+    rows = sh.deal(spark, docs, 5, 64, str(tmp_path / "map")).collect()
+    # Every row's slot by its key, hash and bundle; then the map by bytes; then rows slot by slot.
+    hashed = docs.selectExpr("doc_id", "xxhash64(text) AS h", "octet_length(coalesce(text, '')) + 1 AS size").collect()
+    seen, own = Counter(), []
+    for r in sorted(hashed, key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.h)):
+        own.append((r.doc_id, r.h, seen[r] // sh.BUNDLE, r.size))
+        seen[r] += 1
+    keys = spark.createDataFrame(sorted(set(own), key=str), "doc_id long, h long, bundle long, size int")
+    slot_of = {(r.doc_id, r.h, r.bundle): r.s for r in keys.select("*", sh.slot("doc_id", "h", "bundle", slots=64).alias("s")).collect()}
+    weight = Counter()
+    for doc, h, bundle, size in own:
+        weight[slot_of[doc, h, bundle]] += size
+    shard_of = sh.SlotMap.first(64, 5).rebalanced(weight).shard_of
+    own.sort(key=lambda o: slot_of[o[:3]])  # stable: key, hash and bundle within a slot
+    filled, expected = Counter(), Counter()
+    for doc, h, bundle, size in own:
+        slot = slot_of[doc, h, bundle]
+        expected[doc, size, shard_of[slot], filled[shard_of[slot]], slot] += 1
+        filled[shard_of[slot]] += 1
+    assert Counter((r.doc_id, r.size, r.shard, r.slot, r.virtual_slot) for r in rows) == expected
+
+
 def test_growing_edits_the_map(spark):
     weight = {slot: 100 + slot * 7919 % 1000 for slot in range(1024)}
     old = sh.SlotMap.first(1024, 8).rebalanced(weight)

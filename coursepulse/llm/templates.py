@@ -80,32 +80,47 @@ def plain(word: str) -> str:
 
 def in_words(word: str) -> bool:
     """Whether a plain word is a number: five, twenty-five."""
-    return all(part in NUMBER_WORDS for part in word.split("-"))
+    return word in NUMBER_WORDS or "-" in word and all(part in NUMBER_WORDS for part in word.split("-"))
 
 
 def kind_of(word: str) -> int:
     """Kind of a plain word by itself."""
-    if WITH_UNIT.fullmatch(word):
-        return MEASURE_SLOT
-    if in_words(word) or NUMBER.fullmatch(word):
+    if word[:1].isdigit() or word[:1] in ("+", "-"):
+        if WITH_UNIT.fullmatch(word):
+            return MEASURE_SLOT
+        if NUMBER.fullmatch(word):
+            return NUMBER_SLOT
+    if in_words(word):
         return NUMBER_SLOT
     return UNIT_SLOT if word in UNITS else NAME_SLOT if word in NAMES else LITERAL
 
 
+#: Kinds and flags of the words listed above.
+LISTED = {
+    w.encode(): kind_of(w) | (IN_WORDS if in_words(w) else 0) for words in (NUMBER_WORDS, UNITS, NAMES) for w in words
+}
+
+
 class WordCodes(dict):
     """Hash of each word's plain form, with its kind and flags in the low bits."""
 
     def __missing__(self, raw: bytes) -> int:
-        word = raw.decode("utf-8", "replace")
-        own = plain(word)
-        flags = kind_of(own) | (CAPITAL if word.strip(EDGES)[:1].isupper() else 0)
-        flags |= CLOSES if word.rstrip("\"')”’»")[-1:] in (".", "!", "?", ":") else 0
-        flags |= (0 if own else EMPTY) | (IN_WORDS if in_words(own) else 0)
-        flags |= 0 if word[-1:].isalnum() else MARKED
-        flags |= (OPENS if word[0] in OPENING else 0) | (ENDS if word[-1] in ENDING else 0)
+        if raw.isalpha():  # ASCII letters alone, as most words are
+            own = raw.lower()
+            flags = LISTED.get(own, LITERAL) | (CAPITAL if raw[:1].isupper() else 0)
+        else:
+            word = raw.decode("utf-8", "replace")
+            bare = word.strip(EDGES)
+            lower = bare.lower()
+            own, flags = lower.encode(), kind_of(lower) | (IN_WORDS if in_words(lower) else 0)
+            flags |= (CAPITAL if bare[:1].isupper() else 0) | (0 if bare else EMPTY)
+            if not word[-1].isalnum():
+                flags |= MARKED | (ENDS if word[-1] in ENDING else 0)
+                flags |= CLOSES if word.rstrip("\"')”’»")[-1:] in (".", "!", "?", ":") else 0
+            flags |= OPENS if word[0] in OPENING else 0
         if len(self) >= MAX_CACHED:
             self.clear()
-        code = self[raw] = xxhash.xxh3_64_intdigest(own.encode()) & ~FLAGS | flags
+        code = self[raw] = xxhash.xxh3_64_intdigest(own) & ~FLAGS | flags
         return code
 
 

@@ -34,11 +34,13 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coursepulse.llm.common import MAX_CACHED, ROWS, map_arrow, mixed, stored, utf8
+from coursepulse.llm.common import MAX_CACHED, map_arrow, mixed, stored, utf8
 
 WINDOW, MIN_WORDS = 13, 5
 #: A leak without a literal window needs this share of the item's windows on one diagonal.
 ITEM_SHARE = 0.5
+#: Documents that a task works on at once: some 100,000 words.
+ROWS = 200
 #: Bits of the filter per window of the benchmark, and most bits in all (16 MB).
 BITS_PER_WINDOW, MAX_BITS = 32, 1 << 27
 
